@@ -32,7 +32,7 @@ sessions AS (
     event_id % 11 AS objectives_completed, event_id % 16 AS deaths, event_id % 21 AS eliminations,
     CAST(floor(value) AS BIGINT) AS raw_minutes,
     CAST(greatest(3, least(120, floor(value))) AS BIGINT) AS time_played_minutes,
-    CASE event_type WHEN 'error' THEN 'crashed' WHEN 'view' THEN 'abandoned' ELSE 'completed' END AS status,
+    CASE WHEN event_type NOT IN ('error', 'view') THEN 'completed' WHEN event_type = 'view' THEN 'abandoned' ELSE 'crashed' END AS status,
     CASE WHEN user_id % 20 < 11 THEN 'mobile' WHEN user_id % 20 < 17 THEN 'pc' ELSE 'console' END AS device_type
   FROM events)"""
 

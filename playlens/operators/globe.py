@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from playlens.functions import numbers, texts
 from playlens.operators.filters import completed
@@ -48,7 +46,7 @@ def latest_located(
         .orderBy(*_newest_first())
         .limit(n)
     )
-    earliest = F.lit(dt.datetime(1, 1, 1)).cast(sessions.schema["start_time"].dataType)
+    earliest = F.lit("0001-01-01 00:00:00").cast(sessions.schema["start_time"].dataType)
     bound = found.agg(
         F.coalesce(F.when(F.count(F.lit(1)) >= n, F.min("start_time")), earliest)
     ).scalar()
@@ -93,9 +91,13 @@ def globe_measured(
 
 
 def marker_size(places: DataFrame, column: str, base: int = 8, span: int = 35) -> DataFrame:
-    """Scale `column` to a marker size between `base` and base + span."""
-    limits = places.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    low, high = limits["low"], limits["high"]
+    """Scale `column` to a marker size between `base` and base + span.
+
+    `places` is a feed of at most n rows, so the limits come from one window over it: a
+    second aggregate would compute the whole feed again.
+    """
+    feed = Window.partitionBy(F.lit(0))
+    low, high = F.min(column).over(feed), F.max(column).over(feed)
     return places.withColumn(
         "marker_size", F.lit(base) + (F.col(column) - low) / (high - low + 1) * span
     )

@@ -67,9 +67,9 @@ def sessions_from_events(events: DataFrame) -> DataFrame:
             (F.col("event_id") % 21).alias("eliminations"),
             "raw_minutes",
             "time_played_minutes",
-            F.when(F.col("event_type") == "error", "crashed")
+            F.when(~F.col("event_type").isin("error", "view"), "completed")
             .when(F.col("event_type") == "view", "abandoned")
-            .otherwise("completed")
+            .otherwise("crashed")
             .alias("status"),
             _device(F.col("user_id")).alias("device_type"),
         )

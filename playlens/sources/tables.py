@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from playlens.sources.schemas import DOMAIN
 
@@ -67,6 +67,12 @@ def catalog_row_counts(spark: SparkSession, schema: str) -> DataFrame:
     return table_row_counts({name: scan_catalog(spark, schema, name) for name in names})
 
 
-def with_fallback(df: DataFrame, default: DataFrame) -> DataFrame:
-    """`df`, or `default` when `df` has no row; decided inside the plan."""
-    return df.unionByName(default.where(~df.exists()))
+def with_fallback(report: DataFrame, default: DataFrame) -> DataFrame:
+    """`report`, or `default` when it has no row; decided inside the plan, in one pass.
+
+    For results of a few rows, as handed to a client: a window over both picks the first
+    that has rows. Testing for rows beforehand would compute the report twice.
+    """
+    both = report.withColumn("_choice", F.lit(0)).unionByName(default.withColumn("_choice", F.lit(1)))
+    best = F.min("_choice").over(Window.partitionBy(F.lit(0)))
+    return both.withColumn("_best", best).where("_choice = _best").drop("_choice", "_best")
