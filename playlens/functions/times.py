@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_date(day: dt.date) -> Column:
     return F.lit(day).cast("date")
 
 
-def as_ntz(moment: dt.datetime) -> Column:
-    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+def moment_like(value: dt.datetime | str, df: DataFrame, column: str) -> Column:
+    """A constant of the column's own type, so that a comparison with it reaches the scan."""
+    return F.lit(str(value)).cast(df.schema[column].dataType)
 
 
 def month_of(moment: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from playlens.functions import numbers, texts
+from playlens.functions import numbers, texts, times
 from playlens.operators.filters import completed
 
 PLACE = ["latitude", "longitude", "city", "country"]
@@ -46,7 +46,7 @@ def latest_located(
         .orderBy(*_newest_first())
         .limit(n)
     )
-    earliest = F.lit("0001-01-01 00:00:00").cast(sessions.schema["start_time"].dataType)
+    earliest = times.moment_like("0001-01-01 00:00:00", sessions, "start_time")
     bound = found.agg(
         F.coalesce(F.when(F.count(F.lit(1)) >= n, F.min("start_time")), earliest)
     ).scalar()

@@ -64,12 +64,13 @@ def named_members(player_cohorts: DataFrame, cohorts: DataFrame) -> DataFrame:
 def reference_time(players: DataFrame, transactions: DataFrame, sessions: DataFrame) -> DataFrame:
     """Payers with their newest session start, or their sign-up date without a session."""
     latest = sessions.groupBy("player_id").agg(F.max("start_time").alias("latest"))
+    signed_up = F.col("create_date").cast(sessions.schema["start_time"].dataType)
     return (
         paying(players, transactions)
         .join(latest, "player_id", "left")
         .select(
             "player_id",
-            F.coalesce("latest", F.col("create_date").cast("timestamp_ntz")).alias("reference_time"),
+            F.coalesce("latest", signed_up).alias("reference_time"),
         )
     )
 

@@ -26,7 +26,7 @@ def cards(islands: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def active_7d(islands: DataFrame, sessions: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Distinct players per island in the last `days`; 0 without any."""
-    since = times.as_ntz(as_of - dt.timedelta(days=days))
+    since = times.moment_like(as_of - dt.timedelta(days=days), sessions, "start_time")
     active = (
         sessions.where(F.col("start_time") > since)
         .groupBy("island_id")

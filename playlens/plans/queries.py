@@ -24,8 +24,9 @@ SESSION_COLUMNS = [
 
 
 def _save_and_read(b: Bindings) -> DataFrame:
-    paths = tables.save_tables(b.tables, workspace(b.spark, "tables"))
-    return tables.scan(b.spark, paths["player_cohorts"].rsplit("/", 1)[0], "player_cohorts")
+    folder = workspace(b.spark, "tables")
+    tables.save_tables({name: tables.with_zone(df) for name, df in b.tables.items()}, folder)
+    return tables.scan(b.spark, folder, "player_cohorts")
 
 
 def _events_stream(b: Bindings) -> tuple[SparkSession, DataFrame]:

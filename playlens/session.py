@@ -18,6 +18,10 @@ DEFAULTS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The default, INT96, carries no statistics, so no row group could be skipped by time.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # Recording a Python call site per expression makes plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # State of unbounded streams stays off the JVM heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

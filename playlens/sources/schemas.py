@@ -1,4 +1,8 @@
-"""Declared schemas of the domain tables, as Spark DDL. Nothing is inferred."""
+"""Declared schemas of the domain tables, as Spark DDL. Nothing is inferred.
+
+Stored times are `timestamp` in UTC: Parquet scans skip row groups by it, which they cannot do
+by `timestamp_ntz`. The operators take either.
+"""
 
 from __future__ import annotations
 
@@ -14,14 +18,14 @@ ISLANDS = (
 )
 
 SESSIONS = (
-    "session_id bigint, player_id bigint, start_time timestamp_ntz, end_time timestamp_ntz, "
+    "session_id bigint, player_id bigint, start_time timestamp, end_time timestamp, "
     "ip_address bigint, island_id bigint, score bigint, objectives_completed bigint, "
     "deaths bigint, eliminations bigint, time_played_minutes bigint, status string, "
     "device_type string"
 )
 
 TRANSACTIONS = (
-    "transaction_id bigint, player_id bigint, type string, timestamp timestamp_ntz, "
+    "transaction_id bigint, player_id bigint, type string, timestamp timestamp, "
     "amount bigint, credit_card_last4 bigint"
 )
 

@@ -25,10 +25,28 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def save_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Overwrite one Parquet table per frame below `folder`; returns name -> path."""
+def with_zone(df: DataFrame) -> DataFrame:
+    """Times without a zone as UTC instants, the stored form; needs a session in UTC."""
+    zoned = {
+        name: F.col(name).cast("timestamp") for name, kind in df.dtypes if kind == "timestamp_ntz"
+    }
+    return df.withColumns(zoned)
+
+
+def save_tables(
+    tables: dict[str, DataFrame], folder: str, cluster_by: dict[str, list[str]] | None = None
+) -> dict[str, str]:
+    """Overwrite one Parquet table per frame below `folder`; returns name -> path.
+
+    `cluster_by` names columns to range-partition and sort a table by, so that row groups
+    hold narrow ranges and a filter on them skips the rest: sessions by start_time, for one.
+    End the list with a unique column to keep a frequent value from filling one file.
+    """
     paths = {}
     for name, df in tables.items():
+        columns = (cluster_by or {}).get(name)
+        if columns:
+            df = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
         paths[name] = f"{folder.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(paths[name])
     return paths
