@@ -1,0 +1,177 @@
+"""Operators against plain Python on random rows, hot keys included."""
+
+from __future__ import annotations
+
+import datetime as dt
+import hashlib
+import json
+import random
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from playlens.operators import aggregates, chat, globe, joins, panels, sampling
+from playlens.sources import dimensions
+from tests import frames
+from tests.frames import at, tuples
+
+T0 = at("2024-06-01 00:00:00")
+
+
+def random_sessions(seed: int, n: int, span_minutes: int, grain_us: int = 1_000_000):
+    """A third of all rows share player 1 and island 1."""
+    rng = random.Random(seed)
+    rows = []
+    for sid in range(n):
+        hot = rng.random() < 1 / 3
+        start = T0 + dt.timedelta(
+            microseconds=rng.randrange(span_minutes * 60_000_000 // grain_us) * grain_us
+        )
+        end = start + dt.timedelta(minutes=rng.randint(3, 120))
+        rows.append((
+            sid, 1 if hot else rng.randint(1, 60), 1 if hot else rng.randint(1, 8), start, end,
+            rng.choice(["completed", "completed", "abandoned", "crashed"]),
+        ))
+    return rows
+
+
+def brute_peak(rows):
+    edges = defaultdict(list)
+    for _, _, island, start, end, _ in rows:
+        edges[island] += [(start, 1), (end, -1)]
+    peaks = {}
+    for island, items in edges.items():
+        level = top = 0
+        for _, change in sorted(items, key=lambda e: (e[0], e[1])):
+            level += change
+            top = max(top, level)
+        peaks[island] = top
+    return sorted(peaks.items())
+
+
+def test_peak_concurrency(spark):
+    for seed, span, grain in ((1, 600, 1_000_000), (2, 60, 1), (3, 20_000, 60_000_000), (4, 2, 250_000)):
+        rows = random_sessions(seed, 1500, span, grain)
+        assert tuples(panels.peak_concurrency(frames.sessions(spark, rows))) == brute_peak(rows)
+
+
+def test_favorites_portfolio_and_leaderboard(spark):
+    rows = random_sessions(5, 2000, 600)
+    se = frames.sessions(spark, rows)
+    plays = Counter((p, i) for _, p, i, *_ in rows)
+    best = {}
+    for (p, i), n in plays.items():
+        best[p] = min(best.get(p, (0, 0)), (-n, i))
+    assert tuples(panels.favorite(se)) == sorted(
+        ((p, i, -n) for p, (n, i) in best.items()), key=lambda t: tuple(map(lambda v: (False, str(v)), t))
+    )
+    isl = frames.islands(spark, [(i, i % 3, "Racing", 3.5 + i / 10) for i in range(1, 9)])
+    fans = defaultdict(set)
+    total = Counter()
+    for _, p, i, *_ in rows:
+        fans[i % 3].add(p)
+        total[i % 3] += 1
+    got = {r.creator_player_id: (r.total_plays, r.unique_players) for r in panels.portfolio(isl, se).collect()}
+    assert got == {c: (total[c], len(fans[c])) for c in range(3)}
+    assert sum(r.total_plays for r in joins.total_plays(isl, se).collect()) == sum(n for n, _ in got.values())
+    counts = Counter(p for _, p, *_ in rows)
+    expected = sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[:6]
+    board = panels.leaderboard(se).orderBy("rank").collect()
+    assert [(r.player_id, r.sessions) for r in board] == expected
+
+
+def test_newest_located_sessions(spark):
+    rows = random_sessions(6, 3000, 600, 60_000_000)
+    se = frames.sessions(spark, rows)
+    known = [p for p in range(1, 61) if p % 4]
+    pl = frames.players(spark, [{"player_id": p} for p in known])
+    match = sorted(
+        (r for r in rows if r[5] == "completed" and r[1] in known), key=lambda r: (r[3], r[0]), reverse=True
+    )
+    for n in (5, 500, 3000):
+        got = {r.session_id for r in globe.latest_located(se, pl, n).collect()}
+        assert got == {r[0] for r in match[:n]}
+
+
+def test_peak_hours_and_revenue(spark):
+    rows = random_sessions(7, 2000, 3000)
+    se = frames.sessions(spark, rows)
+    pl = frames.players(
+        spark, [{"player_id": p, "region": f"R{p % 4}", "country": f"C{p % 5}"} for p in range(1, 61)]
+    )
+    hours = Counter((f"R{p % 4}", start.hour) for _, p, _, start, *_ in rows)
+    assert tuples(panels.peak_hours(se, pl)) == sorted(
+        ((r, h, n) for (r, h), n in hours.items()), key=lambda t: tuple((False, str(v)) for v in t)
+    )
+    rng = random.Random(8)
+    tx = [(i, 1 if rng.random() < 1 / 3 else rng.randint(1, 60), rng.randint(-500, 2000)) for i in range(2000)]
+    payers, cents = defaultdict(set), Counter()
+    for _, p, amount in tx:
+        if amount > 0:
+            payers[f"C{p % 5}"].add(p)
+            cents[f"C{p % 5}"] += amount
+    got = {r.country: (r.paying_players, r.total_revenue)
+           for r in aggregates.revenue_by_country(frames.transactions(spark, tx), pl).collect()}
+    assert got == {c: (len(payers[c]), cents[c] / 100) for c in payers}
+
+
+def _draw(key, seed):
+    return int(hashlib.md5(f"{key}:{seed}".encode()).hexdigest()[:15], 16)
+
+
+def test_sample_fraction_is_exact_and_independent_of_partitions(spark):
+    for n, fraction in ((1000, 0.4), (37, 0.4), (5, 0.1), (10, 1.0), (10, 0.0)):
+        df = spark.range(n).select(F.col("id").alias("player_id"))
+        expected = sorted(sorted(range(n), key=lambda k: (_draw(k, 7), k))[: round(fraction * n)])
+        for parts in (1, 5):
+            got = sampling.sample_fraction(df.repartition(parts), "player_id", fraction, 7)
+            assert sorted(r.player_id for r in got.collect()) == expected
+
+
+def test_weighted_pick_follows_the_weights(spark):
+    n = 20_000
+    people = spark.range(n).select(F.col("id").alias("player_id"), F.lit("EU").alias("region"))
+    cities = dimensions.geo_dimension(spark)
+    got = sampling.weighted_pick(people, "player_id", cities, "region", "city", "weight", "city:1")
+    counts = {r.city: r["count"] for r in got.groupBy("city").count().collect()}
+    assert sum(counts.values()) == n
+    weights = {city[0]: city[-1] for city in dimensions.GEOGRAPHY["EU"][0]}
+    for city, weight in weights.items():
+        assert abs(counts[city] / n - weight) < 0.015
+    again = sampling.weighted_pick(
+        people.repartition(3), "player_id", cities, "region", "city", "weight", "city:1"
+    )
+    assert got.exceptAll(again).count() == 0
+
+
+def test_one_session_per_payer(spark):
+    rows = random_sessions(9, 800, 600)
+    tx = frames.transactions(spark, [(i, p, 5) for i, p in enumerate([1, 2, 2, 3, 500])])
+    got = tuples(sampling.one_per_player(frames.sessions(spark, rows), tx, 3))
+    expected = []
+    for player in (1, 2, 3):
+        mine = [sid for sid, p, *_ in rows if p == player]
+        if mine:
+            expected.append((player, min(mine, key=lambda s: (_draw(s, 3), s))))
+    assert got == expected
+
+
+def test_payload_of_short_and_very_long_conversations(spark):
+    rng = random.Random(10)
+    talks = {1: 1, 2: 7, 3: 2500, 4: 1000, 5: 1001}
+    rows = [
+        (c, t, "user" if t % 2 == 0 else "assistant", None if t == 3 else f'{t} "é\\/\n{rng.random()}')
+        for c, n in talks.items() for t in range(n)
+    ]
+    expected = {
+        c: {"input": [{"role": r, "content": x} for cc, _, r, x in rows if cc == c], "max_output_tokens": 1000}
+        for c in talks
+    }
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string")
+    bodies = defaultdict(dict)
+    for r in chat.conversation_payload(turns).collect():
+        bodies[r.conv_id][r.part] = r.payload
+    assert {c: len(p) for c, p in bodies.items()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 2}
+    whole = {c: json.loads("".join(p[k] for k in sorted(p))) for c, p in bodies.items()}
+    assert whole == expected
