@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Regions, their cities (city, state, country, lat, lon, weight), device
@@ -109,18 +110,30 @@ SAMPLE_LOCATIONS = [
     ("Mexico", "Mexico City", 19.4326, -99.1332, 45, 45, 42.7),
 ]
 
-_REGIONS_SCHEMA = (
-    "region string, "
-    "cities array<struct<city:string,state:string,country:string,lat:double,lon:double,weight:double>>, "
-    "device_weights map<string,double>, "
-    "avg_transaction struct<low:int,high:int>"
-)
+_CITY = pa.struct([
+    ("city", pa.string()), ("state", pa.string()), ("country", pa.string()),
+    ("lat", pa.float64()), ("lon", pa.float64()), ("weight", pa.float64()),
+])
+
+
+def _constant(spark: SparkSession, rows: list[tuple], columns: list[tuple]) -> DataFrame:
+    """A constant table. From Arrow it becomes a local relation, whose size Spark knows."""
+    schema = pa.schema(columns)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema))
 
 
 def regions(spark: SparkSession) -> DataFrame:
     """One nested row per region."""
-    rows = [(name, cities, devices, spend) for name, (cities, devices, spend) in GEOGRAPHY.items()]
-    return spark.createDataFrame(rows, _REGIONS_SCHEMA)
+    rows = [
+        (name, [dict(zip(_CITY.names, city)) for city in cities], list(devices.items()), dict(zip(("low", "high"), spend)))
+        for name, (cities, devices, spend) in GEOGRAPHY.items()
+    ]
+    return _constant(spark, rows, [
+        ("region", pa.string()),
+        ("cities", pa.list_(_CITY)),
+        ("device_weights", pa.map_(pa.string(), pa.float64())),
+        ("avg_transaction", pa.struct([("low", pa.int32()), ("high", pa.int32())])),
+    ])
 
 
 def geo_dimension(spark: SparkSession) -> DataFrame:
@@ -142,17 +155,20 @@ def growth_weight_dimension(
         for region, shares in (weights or GROWTH_WEIGHTS).items()
         for phase, share in enumerate(shares, start=1)
     ]
-    return spark.createDataFrame(rows, "phase int, region string, expected_weight double")
+    columns = [("phase", pa.int32()), ("region", pa.string()), ("expected_weight", pa.float64())]
+    return _constant(spark, rows, columns)
 
 
 def cohort_dimension(spark: SparkSession, start: dt.date) -> DataFrame:
     rows = [(cid, name, start + dt.timedelta(days=days)) for cid, name, days in COHORTS]
-    return spark.createDataFrame(rows, "cohort_id bigint, name string, create_date date")
+    columns = [("cohort_id", pa.int64()), ("name", pa.string()), ("create_date", pa.date32())]
+    return _constant(spark, rows, columns)
 
 
 def sample_locations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        SAMPLE_LOCATIONS,
-        "country string, city string, latitude double, longitude double, "
-        "active_sessions bigint, player_count bigint, avg_session_duration double",
-    )
+    return _constant(spark, SAMPLE_LOCATIONS, [
+        ("country", pa.string()), ("city", pa.string()),
+        ("latitude", pa.float64()), ("longitude", pa.float64()),
+        ("active_sessions", pa.int64()), ("player_count", pa.int64()),
+        ("avg_session_duration", pa.float64()),
+    ])

@@ -19,6 +19,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.log.level": "ERROR",
+            "spark.sql.maxMetadataStringLength": "100000",
+            "spark.sql.debug.maxToStringFields": "1000",
             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="playlens-warehouse-"),
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="playlens-shared-"),
         },
@@ -42,5 +44,8 @@ def stored(spark, bound):
 
     folder = workspace(spark, "stored")
     frames = {name: tables.with_zone(df) for name, df in bound.tables.items()}
+    # Keep one file per range: these tables are so small that they would end up in one.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     tables.save_tables(frames, folder, {"sessions": ["start_time", "session_id"]})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     return {name: tables.scan(spark, folder, name) for name in frames}
