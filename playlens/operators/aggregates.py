@@ -80,9 +80,9 @@ def paying_share(transactions: DataFrame, players: DataFrame) -> DataFrame:
 
 
 def cohort_sizes(player_cohorts: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """Members per cohort, by name; `cohorts` is the constant cohort table."""
+    """Members per cohort, by name."""
     sizes = player_cohorts.groupBy("cohort_id").agg(_rows("size"))
-    names = F.broadcast(cohorts.select("cohort_id", "name"))
+    names = cohorts.select("cohort_id", "name")
     return sizes.join(names, "cohort_id").select("cohort_id", "name", "size").orderBy("cohort_id")
 
 

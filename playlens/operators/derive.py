@@ -44,7 +44,7 @@ def long_dates(sessions: DataFrame) -> DataFrame:
 def growth_phases(players: DataFrame, start: dt.date, weights: DataFrame) -> DataFrame:
     """Growth phase at sign-up and the region share expected in it; null without a weight.
 
-    `weights` is the constant (phase, region, expected_weight) table.
+    `weights` is the (phase, region, expected_weight) table.
     """
     phase = times.growth_phase(F.col("create_date"), start)
-    return players.withColumn("phase", phase).join(F.broadcast(weights), ["phase", "region"], "left")
+    return players.withColumn("phase", phase).join(weights, ["phase", "region"], "left")

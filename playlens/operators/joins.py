@@ -3,7 +3,8 @@
 Wherever a join feeds on facts only to total them, the facts are aggregated on the join key
 first, so both sides are unique on it and a hot key is combined on the map side. Row-level
 joins keep one row per fact; AQE splits a skewed partition of those by map output. No side
-is hinted as broadcast unless it is a constant table: Spark decides by measured size.
+is hinted as broadcast: Spark decides by size, which it knows for the constant tables and
+measures for the others.
 """
 
 from __future__ import annotations
@@ -56,9 +57,8 @@ def paying(players: DataFrame, transactions: DataFrame, anti: bool = False) -> D
 
 
 def named_members(player_cohorts: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """Memberships with cohort names; `cohorts` is the constant cohort table."""
-    names = cohorts.select("cohort_id", "name")
-    return player_cohorts.join(F.broadcast(names), "cohort_id")
+    """Memberships with cohort names."""
+    return player_cohorts.join(cohorts.select("cohort_id", "name"), "cohort_id")
 
 
 def reference_time(players: DataFrame, transactions: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -188,7 +188,7 @@ def region_share(players: DataFrame, start: dt.date, weights: DataFrame) -> Data
     total = F.sum("players").over(Window.partitionBy("phase"))
     return (
         counts.withColumn("share", numbers.ratio(F.col("players"), total))
-        .join(F.broadcast(weights), ["phase", "region"], "left")
+        .join(weights, ["phase", "region"], "left")
         .orderBy("phase", "region")
     )
 

@@ -22,18 +22,17 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> Data
     )
     histogram = drawn.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
-    wanted = F.bround(fraction * df.agg(F.count(F.lit(1))).scalar()).cast("bigint")
-    filled = F.sum("n").over(order)
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     # The first bucket that reaches the wanted size, and how many of its rows are needed.
     edge = (
-        histogram.select("_bucket", "n", filled.alias("filled"))
-        .where(F.col("filled") >= wanted)
-        .agg(
-            F.min_by(
-                F.struct("_bucket", (wanted - F.col("filled") + F.col("n")).alias("rest")),
-                F.col("_bucket"),
-            )
+        histogram.select(
+            "_bucket",
+            (F.sum("n").over(order) - F.col("n")).alias("below"),
+            "n",
+            F.bround(fraction * total).cast("bigint").alias("wanted"),
         )
+        .where(F.col("below") + F.col("n") >= F.col("wanted"))
+        .agg(F.min(F.struct("_bucket", (F.col("wanted") - F.col("below")).alias("rest"))))
         .scalar()
     )
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key))
@@ -58,9 +57,9 @@ def weighted_pick(
 ) -> DataFrame:
     """Give each row one of the `options` that share its `within` value.
 
-    An option is drawn with probability proportional to its weight. `options` is a constant
-    table of a few rows per `within` value. Weights count in millionths, so that draws
-    compare as integers.
+    An option is drawn with probability proportional to its weight. `options` holds a few
+    rows per `within` value; from a constant table its size is known, so that it is
+    broadcast without a hint. Weights count in millionths, and draws compare as integers.
     """
     order = Window.partitionBy(within).orderBy(option)
     share = F.round(F.col(weight) * 1_000_000).cast("bigint")
@@ -78,7 +77,7 @@ def weighted_pick(
     )
     return (
         df.withColumn("_draw", draw(F.col(key), seed))
-        .join(F.broadcast(ranges), matches)
+        .join(ranges, matches)
         .drop("_draw", "_within", "_low", "_high", "_total")
     )
 

@@ -57,10 +57,9 @@ def _stream_locations(b: Bindings) -> DataFrame:
 
 
 def _draw_cities(b: Bindings) -> DataFrame:
-    weights = dimensions.growth_weight_dimension(b.spark)
     phased = b.players.withColumn("phase", times.growth_phase(F.col("create_date"), START))
     return sampling.assign_city(
-        phased, weights, dimensions.geo_dimension(b.spark), dimensions.device_dimension(b.spark), SEED
+        phased, dimensions.growth_weight_dimension(b.spark), dimensions.geo_dimension(b.spark), dimensions.device_dimension(b.spark), SEED
     )
 
 

@@ -10,6 +10,7 @@ from playlens.functions import numbers, texts, times
 from playlens.operators import (
     aggregates, chat, cohorts, derive, filters, globe, joins, panels,
 )
+from playlens.plans import feed
 from playlens.sources import dimensions, tables
 from tests import frames
 from tests.frames import AS_OF, at, tuples
@@ -89,6 +90,15 @@ def test_globe_counts_and_constant(spark):
     assert (measured.player_count, measured.avg_session_duration) == (2, 10.0)
 
 
+def test_feed_without_sessions_shows_the_sample_places(spark):
+    se = simple_sessions(spark, [(1, 1, 1)], status="crashed")
+    pl = frames.players(spark, [{"player_id": 1}])
+    rows = feed.globe_feed(se, pl, dimensions.sample_locations(spark)).collect()
+    assert [r.city for r in rows[:2]] == ["New York", "Tokyo"] and len(rows) == 10
+    assert rows[-1].marker_size == 8.0 and rows[0].marker_size == 8 + 105 / 106 * 35
+    assert rows[0].hover_text.endswith("⏱ Avg Duration: 45.5 min")
+
+
 def test_hover_text_rounds_half_even(spark):
     df = spark.createDataFrame(
         [("Lima", "Peru", 3, 2, 45.25)],
