@@ -369,6 +369,7 @@ SELECT player_id, session_id FROM (
   FROM sessions WHERE player_id IN (SELECT player_id FROM transactions)) WHERE r = 1""",
     "stream_active_sessions_5min": _WINDOWS,
     "active_sessions_5min": _WINDOWS,
+    "stream_globe": _with(_PLAYERS, _SESSIONS, _GLOBE) + "SELECT * FROM globe",
     "stream_location_counts": _with(_PLAYERS, _SESSIONS) + """
 SELECT city, country, count(*) AS active_sessions
 FROM sessions s JOIN players p ON s.player_id = p.player_id WHERE status = 'completed' GROUP BY city, country""",

@@ -40,33 +40,27 @@ def latest_located(
     )
     places = players.select("player_id", *PLACE)
     candidates = done.orderBy(*_newest_first()).limit(margin * n)
-    found = (
-        players.select("player_id")
-        .join(F.broadcast(candidates), "player_id")
-        .orderBy(*_newest_first())
-        .limit(n)
-    )
+    found = newest_of(players.select("player_id").join(F.broadcast(candidates), "player_id"), n)
     earliest = times.moment_like("0001-01-01 00:00:00", sessions, "start_time")
     bound = found.agg(
         F.coalesce(F.when(F.count(F.lit(1)) >= n, F.min("start_time")), earliest)
     ).scalar()
-    return (
-        done.where(F.col("start_time") >= bound)
-        .join(places, "player_id")
-        .orderBy(*_newest_first())
-        .limit(n)
-    )
+    return newest_of(done.where(F.col("start_time") >= bound).join(places, "player_id"), n)
 
 
-def globe(sessions: DataFrame, players: DataFrame, n: int = 500, status: str = "completed") -> DataFrame:
-    """Places of the newest n sessions; player count and duration as first published.
+def newest_of(located: DataFrame, n: int) -> DataFrame:
+    """The newest n of sessions that carry a place already."""
+    return located.orderBy(*_newest_first()).limit(n)
+
+
+def count_places(located: DataFrame) -> DataFrame:
+    """Sessions per place; player count and duration as first published.
 
     There, the player count repeats the session count and the duration is the constant 45.0.
-    `globe_measured` gives the measured values.
+    `measure_places` gives the measured values.
     """
     return (
-        latest_located(sessions, players, n, status)
-        .groupBy(*PLACE)
+        located.groupBy(*PLACE)
         .agg(F.count(F.lit(1)).alias("active_sessions"))
         .withColumn("player_count", F.col("active_sessions"))
         .withColumn("avg_session_duration", F.lit(45.0).cast("decimal(3,1)"))
@@ -74,13 +68,10 @@ def globe(sessions: DataFrame, players: DataFrame, n: int = 500, status: str = "
     )
 
 
-def globe_measured(
-    sessions: DataFrame, players: DataFrame, n: int = 500, status: str = "completed"
-) -> DataFrame:
-    """As `globe`, with distinct players and mean minutes."""
+def measure_places(located: DataFrame) -> DataFrame:
+    """Sessions, distinct players and mean minutes per place."""
     return (
-        latest_located(sessions, players, n, status)
-        .groupBy(*PLACE)
+        located.groupBy(*PLACE)
         .agg(
             F.count(F.lit(1)).alias("active_sessions"),
             F.countDistinct("player_id").alias("player_count"),
@@ -90,6 +81,18 @@ def globe_measured(
     )
 
 
+def globe(sessions: DataFrame, players: DataFrame, n: int = 500, status: str = "completed") -> DataFrame:
+    """Places of the newest n sessions, as first published."""
+    return count_places(latest_located(sessions, players, n, status))
+
+
+def globe_measured(
+    sessions: DataFrame, players: DataFrame, n: int = 500, status: str = "completed"
+) -> DataFrame:
+    """Places of the newest n sessions, measured."""
+    return measure_places(latest_located(sessions, players, n, status))
+
+
 def marker_size(places: DataFrame, column: str, base: int = 8, span: int = 35) -> DataFrame:
     """Scale `column` to a marker size between `base` and base + span.
 

@@ -49,11 +49,19 @@ def _stream_windows(b: Bindings) -> DataFrame:
 def _stream_locations(b: Bindings) -> DataFrame:
     session, sessions = _events_stream(b)
     target = workspace(b.spark, "locations")
-    players = Bindings(session, b.folder).players
-    activity.add_location_counts(
-        sessions, players, target, workspace(b.spark, "locations-state")
+    activity.refresh_location_counts(
+        sessions, Bindings(session, b.folder).players, target, workspace(b.spark, "locations-state")
     ).awaitTermination()
-    return activity.location_counts(b.spark, target)
+    return activity.running_result(b.spark, target)
+
+
+def _stream_globe(b: Bindings) -> DataFrame:
+    session, sessions = _events_stream(b)
+    target = workspace(b.spark, "newest")
+    activity.refresh_newest(
+        sessions, Bindings(session, b.folder).players, target, workspace(b.spark, "newest-state")
+    ).awaitTermination()
+    return globe.measure_places(activity.running_result(b.spark, target))
 
 
 def _draw_cities(b: Bindings) -> DataFrame:
@@ -178,6 +186,7 @@ REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
     "stream_active_sessions_5min": _stream_windows,
     "active_sessions_5min": lambda b: activity.active_sessions(b.sessions),
     "stream_location_counts": _stream_locations,
+    "stream_globe": _stream_globe,
 }
 
 

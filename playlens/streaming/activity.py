@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from playlens.operators import globe
 from playlens.operators.filters import completed
 
-LOCATION_COUNTS = "city string, country string, active_sessions bigint"
-
 
 def utc_session(spark: SparkSession) -> SparkSession:
     """A session on the same context that runs in UTC.
@@ -58,8 +59,16 @@ def active_sessions(
     )
 
 
-def refresh_windows(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Process what has arrived, replacing the table at `target` after each batch.
+def _started(writer: DataStreamWriter, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start: once over all that has arrived, or again and again at the interval `every`."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def refresh_windows(
+    counts: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Replace the table at `target` by all windows after each batch.
 
     Complete mode hands over every window, a few bytes per five minutes of history. A batch
     that is run again after a failure writes the same rows.
@@ -68,27 +77,41 @@ def refresh_windows(counts: DataFrame, target: str, checkpoint: str) -> Streamin
     def replace(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(target)
 
-    return (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(replace)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(counts.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)
 
 
-def append_windows(counts: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Process what has arrived, adding closed windows to the table at `target`, once each."""
-    return (
-        counts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def append_windows(
+    counts: DataFrame, target: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Add closed windows to the table at `target`, once each."""
+    writer = counts.writeStream.outputMode("append").format("parquet").option("path", target)
+    return _started(writer, checkpoint, every)
+
+
+def _advance(
+    batch: DataFrame, batch_id: int, target: str, change: DataFrame, merge: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Merge a batch's rows into the running result.
+
+    Batches write to two slots in turn. Batch k reads the slot of batch k-1 and overwrites
+    the other, so running it again gives the same result, and storage stays at two copies.
+    """
+    rows = change
+    if batch_id > 0:
+        before = batch.sparkSession.read.parquet(f"{target}/slot={(batch_id - 1) % 2}")
+        rows = rows.unionByName(before.drop("batch"))
+    merge(rows).withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+        f"{target}/slot={batch_id % 2}"
     )
 
 
+def running_result(spark: SparkSession, target: str) -> DataFrame:
+    """The result after the last finished batch."""
+    slots = spark.read.parquet(target)
+    last = slots.agg(F.max("batch")).scalar()
+    return slots.where(F.col("batch") == last).drop("batch", "slot")
+
+
 def count_locations(sessions: DataFrame, players: DataFrame) -> DataFrame:
     """Completed sessions per city. A hot player is one row by the time of the join."""
     per_player = completed(sessions).groupBy("player_id").agg(F.count(F.lit(1)).alias("n"))
@@ -99,31 +122,36 @@ def count_locations(sessions: DataFrame, players: DataFrame) -> DataFrame:
     )
 
 
-def add_location_counts(
-    sessions: DataFrame, players: DataFrame, target: str, checkpoint: str
+def refresh_location_counts(
+    sessions: DataFrame, players: DataFrame, target: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Process what has arrived, storing each batch's counts per city under its batch id.
+    """Keep counts per city at `target`; they add up, so no state store is needed."""
 
-    Counts add up, so no state store is needed: `location_counts` sums the batches on read.
-    A batch that is run again after a failure replaces its own folder.
-    """
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("city", "country").agg(F.sum("active_sessions").alias("active_sessions"))
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        count_locations(batch, players).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        _advance(batch, batch_id, target, count_locations(batch, players), total)
 
-    return (
-        sessions.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(sessions.writeStream.foreachBatch(add), checkpoint, every)
 
 
-def location_counts(spark: SparkSession, target: str) -> DataFrame:
-    """Current counts per city over all batches stored at `target`."""
-    return (
-        spark.read.schema(LOCATION_COUNTS)
-        .parquet(target)
-        .groupBy("city", "country")
-        .agg(F.sum("active_sessions").alias("active_sessions"))
-    )
+def refresh_newest(
+    sessions: DataFrame,
+    players: DataFrame,
+    target: str,
+    checkpoint: str,
+    n: int = 500,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Keep the newest n located sessions at `target`.
+
+    Late sessions count as well: the newest n of all are among the newest n so far and those
+    of the batch. The globe over these rows costs n rows instead of a scan of all sessions.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        newest = globe.latest_located(batch, players, n)
+        _advance(batch, batch_id, target, newest, lambda rows: globe.newest_of(rows, n))
+
+    return _started(sessions.writeStream.foreachBatch(keep), checkpoint, every)

@@ -15,7 +15,7 @@ from playlens.sources import tables
 from tests import frames
 from tests.conftest import DATA
 
-EAGER = {"save_tables_roundtrip", "stream_active_sessions_5min", "stream_location_counts"}
+EAGER = {"save_tables_roundtrip", "stream_active_sessions_5min", "stream_location_counts", "stream_globe"}
 
 
 def plan(df) -> str:

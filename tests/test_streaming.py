@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from playlens.operators import globe
 from playlens.session import workspace
 from playlens.sources import bindings
 from playlens.sources.bindings import Bindings
@@ -53,15 +54,40 @@ def test_location_counts_add_up_and_resume(spark, bound, files):
     session, sessions = stream(spark, files)
     players = Bindings(session, bound.folder).players
     target, state = workspace(spark, "locations"), workspace(spark, "state")
-    activity.add_location_counts(sessions, players, target, state).awaitTermination()
+
+    def run():
+        activity.refresh_location_counts(sessions, players, target, state).awaitTermination()
+        return tuples(activity.running_result(spark, target))
+
     expected = tuples(activity.count_locations(bound.sessions, bound.players))
-    assert tuples(activity.location_counts(spark, target)) == expected
+    assert run() == expected
     # Nothing new: a restart from the same checkpoint adds nothing.
-    activity.add_location_counts(sessions, players, target, state).awaitTermination()
-    assert tuples(activity.location_counts(spark, target)) == expected
+    assert run() == expected
     # More files arrive: only they are added.
     bound.raw("events").limit(100).write.mode("append").parquet(files)
-    activity.add_location_counts(sessions, players, target, state).awaitTermination()
-    total = activity.location_counts(spark, target).agg(F.sum("active_sessions")).collect()[0][0]
     extra = bindings.sessions_from_events(bound.raw("events").limit(100)).where("status = 'completed'").count()
-    assert total == sum(row[2] for row in expected) + extra
+    assert sum(row[2] for row in run()) == sum(row[2] for row in expected) + extra
+
+
+def test_newest_sessions_across_batches_and_late_files(spark, bound, files):
+    session, sessions = stream(spark, files)
+    players = Bindings(session, bound.folder).players
+    target, state = workspace(spark, "newest"), workspace(spark, "state")
+    query = activity.refresh_newest(sessions, players, target, state, n=40)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 4
+    expected = globe.latest_located(bound.sessions, bound.players, 40)
+    columns = expected.columns
+    assert tuples(activity.running_result(spark, target).select(columns)) == tuples(expected)
+
+
+def test_a_batch_run_twice_changes_nothing(spark, bound):
+    target = workspace(spark, "slots")
+    frames = [spark.createDataFrame([(i, 10 * i)], "k bigint, v bigint") for i in range(3)]
+
+    def total(rows):
+        return rows.agg(F.sum("k").alias("k"), F.sum("v").alias("v"))
+
+    for batch_id in (0, 0, 1, 1, 2, 2, 2):
+        activity._advance(frames[batch_id], batch_id, target, frames[batch_id], total)
+    assert tuples(activity.running_result(spark, target)) == [(3, 30)]
