@@ -63,22 +63,25 @@ def weighted_pick(
     """
     order = Window.partitionBy(within).orderBy(option)
     share = F.round(F.col(weight) * 1_000_000).cast("bigint")
-    ranges = (
+    carried = [c for c in options.columns if c not in (within, weight)]
+    # One row per `within` value, so the join has one match and the draw is computed once.
+    choices = (
         options.withColumn("_share", share)
         .withColumn("_high", F.sum("_share").over(order))
-        .withColumn("_total", F.sum("_share").over(Window.partitionBy(within)))
         .withColumn("_low", F.col("_high") - F.col("_share"))
-        .drop("_share", weight)
-        .withColumnRenamed(within, "_within")
+        .groupBy(within)
+        .agg(
+            F.collect_list(F.struct("_low", "_high", *carried)).alias("_choices"),
+            F.sum("_share").alias("_total"),
+        )
     )
     spot = F.col("_draw") % F.col("_total")
-    matches = (
-        (F.col(within) == F.col("_within")) & (spot >= F.col("_low")) & (spot < F.col("_high"))
-    )
+    hit = F.filter("_choices", lambda c: (spot >= c["_low"]) & (spot < c["_high"]))
     return (
         df.withColumn("_draw", draw(F.col(key), seed))
-        .join(ranges, matches)
-        .drop("_draw", "_within", "_low", "_high", "_total")
+        .join(choices, within)
+        .withColumn("_pick", hit[0])
+        .select(*df.columns, *(F.col("_pick")[c].alias(c) for c in carried))
     )
 
 

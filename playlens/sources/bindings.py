@@ -86,16 +86,23 @@ class Bindings:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(RAW[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
-    def places(self) -> DataFrame:
-        """Country and region names per nation."""
-        return self.raw("nation").join(
+    def with_place(self, df: DataFrame, key: str) -> DataFrame:
+        """Add nation and region columns, one lookup after the other.
+
+        Joined to each other first, the two would be estimated at the product of their sizes,
+        and Spark would stream that single partition past a broadcast of `df`.
+        """
+        return df.join(self.raw("nation"), F.col(key) == F.col("n_nationkey")).join(
             self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey")
         )
 
     @cached_property
     def region_of_country(self) -> DataFrame:
-        return self.places.select(F.col("n_name").alias("country"), F.col("r_name").alias("region"))
+        return (
+            self.raw("nation")
+            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(F.col("n_name").alias("country"), F.col("r_name").alias("region"))
+        )
 
     @cached_property
     def players(self) -> DataFrame:
@@ -105,8 +112,7 @@ class Bindings:
         created = F.date_add(times.as_date(START), (F.col("c_custkey") * 7 % 185).cast("int"))
         level = F.greatest(F.lit(1), F.floor(F.col("c_acctbal") / 200).cast("bigint"))
         return (
-            self.raw("customer")
-            .join(self.places, F.col("c_nationkey") == F.col("n_nationkey"))
+            self.with_place(self.raw("customer"), "c_nationkey")
             .join(last_order, F.col("c_custkey") == F.col("o_custkey"), "left")
             .select(
                 F.col("c_custkey").alias("player_id"),
