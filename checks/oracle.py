@@ -1,4 +1,7 @@
-"""DuckDB SQL for every query, written against the raw tables and apart from the Spark code."""
+"""DuckDB SQL for every query, written against the raw tables and apart from the Spark code.
+
+Only the constant tables are shared with it.
+"""
 
 from __future__ import annotations
 

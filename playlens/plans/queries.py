@@ -10,7 +10,7 @@ from playlens.operators import (
     aggregates, chat, cohorts, derive, filters, globe, joins, panels, sampling,
 )
 from playlens.functions import times
-from playlens.plans import feed
+from playlens.plans import feed, warehouse
 from playlens.session import workspace
 from playlens.sources import bindings, dimensions, tables
 from playlens.sources.bindings import COHORT_REGION, COUNTRIES, END, SESSIONS_AS_OF, START, Bindings
@@ -25,7 +25,8 @@ SESSION_COLUMNS = [
 
 def _save_and_read(b: Bindings) -> DataFrame:
     folder = workspace(b.spark, "tables")
-    tables.save_tables({name: tables.with_zone(df) for name, df in b.tables.items()}, folder)
+    raw = {name: df for name, df in b.tables.items() if name != "player_cohorts"}
+    warehouse.save_warehouse(b.spark, raw, folder, END, COHORT_REGION)
     return tables.scan(b.spark, folder, "player_cohorts")
 
 

@@ -12,6 +12,12 @@ PLAYERS = (
     "device_type string, total_time_played bigint, last_login_date date"
 )
 
+FINAL_PLAYERS = (
+    "player_id bigint, ip_address bigint, create_date date, city string, state string, "
+    "country string, latitude double, longitude double, player_level bigint, "
+    "device_type string, total_time_played bigint, last_login_date date, lifetime_spend bigint"
+)
+
 ISLANDS = (
     "island_id bigint, creator_player_id bigint, island_name string, category string, "
     "create_date date, total_plays bigint, avg_rating double"

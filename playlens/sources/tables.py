@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from playlens.sources.schemas import DOMAIN
 
 
-def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def scan(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """A domain table from `folder/name` in Parquet, with its declared schema."""
-    return spark.read.schema(DOMAIN[name]).parquet(f"{folder.rstrip('/')}/{name}")
+    return spark.read.schema(schema or DOMAIN[name]).parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def scan_catalog(spark: SparkSession, schema: str, name: str) -> DataFrame:

@@ -88,3 +88,25 @@ def test_sql_text_of_top_islands(spark, bound):
     sql = """from islands_final |> order by total_plays desc, island_id |> limit 10
              |> select island_name, category, total_plays, avg_rating"""
     assert tuples(spark.sql(sql)) == tuples(panels.top_islands(bound.islands, bound.sessions))
+
+
+def test_warehouse_tables_carry_the_derived_fields(spark, bound):
+    from playlens.operators import cohorts, joins
+    from playlens.plans import warehouse
+    from playlens.sources import schemas
+
+    folder = workspace(spark, "warehouse")
+    raw = {name: df for name, df in bound.tables.items() if name != "player_cohorts"}
+    paths = warehouse.save_warehouse(spark, raw, folder, bindings.END, bindings.COHORT_REGION)
+    assert set(paths) == set(bound.tables)
+    players = tables.scan(spark, folder, "players", schemas.FINAL_PLAYERS)
+    expected = cohorts.finalize_players(bound.players, bound.transactions)
+    assert spark.read.parquet(paths["players"]).columns == players.columns
+    assert tuples(players) == tuples(expected.select(players.columns))
+    islands = tables.scan(spark, folder, "islands")
+    plays = joins.total_plays(bound.islands, bound.sessions).select(islands.columns)
+    assert tuples(islands) == tuples(plays)
+    assert tuples(tables.scan(spark, folder, "player_cohorts")) == tuples(bound.player_cohorts)
+    assert tuples(globe.globe(tables.scan(spark, folder, "sessions"), players)) == tuples(
+        globe.globe(bound.sessions, bound.players)
+    )
