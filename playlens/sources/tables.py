@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -42,13 +43,17 @@ def save_tables(
     hold narrow ranges and a filter on them skips the rest: sessions by start_time, for one.
     End the list with a unique column to keep a frequent value from filling one file.
     """
-    paths = {}
-    for name, df in tables.items():
-        columns = (cluster_by or {}).get(name)
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in tables}
+
+    def save(name: str) -> None:
+        df, columns = tables[name], (cluster_by or {}).get(name)
         if columns:
             df = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-        paths[name] = f"{folder.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(paths[name])
+
+    # The tables do not depend on each other: their jobs share the cluster instead of queueing.
+    with ThreadPoolExecutor(max_workers=len(tables)) as jobs:
+        list(jobs.map(save, tables))
     return paths
 
 
