@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,10 +55,15 @@ def build_session(
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A new path for `purpose` below the cluster's shared folder.
 
-    The folder is the one named in `spark.checkpoint.dir`. Only where that is unset, as in
-    tests, a local temporary folder stands in.
+    The folder is the one named in `spark.checkpoint.dir`. Only a session that runs in one
+    process (master `local[...]`) may go without: there a temporary folder is as good as a
+    shared one. On a cluster the setting is required, because every executor would
+    write to a disk of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master!r}")
         root = tempfile.mkdtemp(prefix="playlens-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
