@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import packing, quality, tokens
+from playlens.llm import html, jaccard, lines, mixing, packing, quality, tokens, urls
 from playlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def on(name: str, digest: Callable[[DataFrame], DataFrame]) -> Query:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": on("documents", quality.digest),
+        "op2_ngram_jaccard_join": on("documents", jaccard.digest),
+        "op3_line_dedup": on("documents", lines.digest),
+        "op4_html_extraction": on("pages", html.digest),
+        "op6_pareto_mixing": on("documents", mixing.digest),
         "op7_token_counts": on("documents", tokens.digest),
         "op8_best_fit_packing": on("documents", packing.pack),
+        "op10_url_filters": on("pages", urls.digest),
     }
