@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import packing, quality
+from playlens.llm import jaccard, lines, mixing, packing, quality
 from playlens.llm.common import save, table
 
 
@@ -18,6 +18,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality.kept(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents without their later repeated runs of lines; one with nothing left goes."""
+    return lines.cleaned(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The first document of each group of copies and near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it, also not at all."""
+    return mixing.mixed(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The pieces of all documents, each with its place in a sequence."""
     return packing.pack(docs)
@@ -25,6 +40,9 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources", mixing_sources),
     ("best-fit packing", best_fit_packing),
 ]
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import html, jaccard, lines, mixing, packing, quality, tokens, urls
+from playlens.llm import fingerprints, html, jaccard, lines, lm, mixing, packing, quality, tokens, urls
 from playlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,10 @@ def queries() -> dict[str, Query]:
         "op2_ngram_jaccard_join": on("documents", jaccard.digest),
         "op3_line_dedup": on("documents", lines.digest),
         "op4_html_extraction": on("pages", html.digest),
+        "op5_document_fingerprints": on("documents", fingerprints.digest),
         "op6_pareto_mixing": on("documents", mixing.digest),
         "op7_token_counts": on("documents", tokens.digest),
         "op8_best_fit_packing": on("documents", packing.pack),
+        "op9_hmm_scoring": on("documents", lm.digest),
         "op10_url_filters": on("pages", urls.digest),
     }
