@@ -6,6 +6,7 @@ Only the constant tables are shared with it.
 from __future__ import annotations
 
 from playlens.sources import dimensions
+from playlens.sources.bindings import PHASE_WEIGHTS
 
 _PLAYERS = """
 last_order AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS d FROM orders GROUP BY o_custkey),
@@ -42,8 +43,11 @@ sessions AS (
 _TRANSACTIONS = """
 transactions AS (
   SELECT o_orderkey AS transaction_id, o_custkey AS player_id, o_orderdate AS "timestamp",
-    CASE WHEN o_orderpriority = '5-LOW' THEN -1 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT) AS amount
-  FROM orders WHERE o_orderstatus = 'P')"""
+    CASE WHEN o_orderpriority = '5-LOW' THEN -1 ELSE 1 END * CAST(round(o_totalprice * 100) AS BIGINT) AS amount,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'purchase_skin' WHEN '2-HIGH' THEN 'purchase_emote'
+      WHEN '3-MEDIUM' THEN 'purchase_bundle' WHEN '4-NOT SPECIFIED' THEN 'purchase_battle_pass' ELSE 'refund' END AS type,
+    1000 + o_orderkey % 9000 AS credit_card_last4
+  FROM orders)"""
 
 _ISLANDS = """
 islands AS (
@@ -68,12 +72,9 @@ members AS (
   UNION ALL SELECT player_id, 7 FROM players WHERE total_time_played > 500
   UNION ALL SELECT player_id, 8 FROM players WHERE total_time_played < 100)"""
 
-_WEIGHTS = """
-weights(phase, region, expected_weight) AS (VALUES
-  (1, 'AFRICA', 0.60::DOUBLE), (2, 'AFRICA', 0.50), (3, 'AFRICA', 0.45),
-  (1, 'EUROPE', 0.25), (2, 'EUROPE', 0.20), (3, 'EUROPE', 0.15),
-  (1, 'ASIA', 0.10), (2, 'ASIA', 0.10), (3, 'ASIA', 0.08),
-  (1, 'AMERICA', 0.05), (2, 'AMERICA', 0.20), (3, 'AMERICA', 0.32))"""
+_WEIGHTS = "weights(phase, region, expected_weight) AS (VALUES " + ", ".join(
+    f"({phase}, '{region}', {share}::DOUBLE)" for region, shares in PHASE_WEIGHTS.items() for phase, share in enumerate(shares, 1)
+) + ")"
 
 _PHASE = """
 phased AS (
@@ -128,34 +129,10 @@ def _sample_rows() -> str:
     )
 
 
-def _pick(source: str, options: str, within: str, option: str, weight: str, seed: str, carry: str) -> str:
-    """Body of a CTE that draws one option per player."""
-    return f"""
-  SELECT x.*, {carry} FROM (SELECT *, {_draw('player_id', seed)} AS h FROM {source}) x JOIN (
-    SELECT *, sum(CAST(round({weight} * 1000000) AS BIGINT)) OVER (PARTITION BY {within} ORDER BY {option}) AS hi,
-      CAST(round({weight} * 1000000) AS BIGINT) AS w,
-      sum(CAST(round({weight} * 1000000) AS BIGINT)) OVER (PARTITION BY {within}) AS total
-    FROM {options}) o ON x.{within} = o.{within} AND x.h % o.total >= o.hi - o.w AND x.h % o.total < o.hi"""
-
-
 def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n"
 
 
-_CITIES = "cities(region, city, state, country, lat, lon, weight) AS (VALUES " + _values(
-    (region, *city) for region, (rows, _, _) in dimensions.GEOGRAPHY.items() for city in rows
-) + ")"
-_DEVICES = "devices(region, device_type, weight) AS (VALUES " + _values(
-    (region, device, weight)
-    for region, (_, devices, _) in dimensions.GEOGRAPHY.items()
-    for device, weight in devices.items()
-) + ")"
-_GROWTH = "growth(phase, region, weight) AS (VALUES " + _values(
-    (phase, region, weight)
-    for region, weights in dimensions.GROWTH_WEIGHTS.items()
-    for phase, weight in enumerate(weights, start=1)
-) + ")"
-
 _WINDOWS = _with(_SESSIONS) + """
 SELECT time_bucket(INTERVAL 5 MINUTE, start_time) AS window_start,
   time_bucket(INTERVAL 5 MINUTE, start_time) + INTERVAL 5 MINUTE AS window_end, count(*) AS active_sessions
@@ -164,6 +141,22 @@ FROM sessions WHERE status = 'completed' GROUP BY 1, 2"""
 ORACLES: dict[str, str] = {
     "scan_sessions": _with(_SESSIONS) + "SELECT * EXCLUDE (raw_minutes) FROM sessions",
     "save_tables_roundtrip": _with(_PLAYERS, _TRANSACTIONS, _MEMBERS) + "SELECT * FROM members",
+    "saved_peak_hours": _with(_PLAYERS, _SESSIONS) + """
+SELECT region, CAST(hour(start_time) AS INT) AS hour, count(*) AS sessions
+FROM sessions s JOIN players p ON s.player_id = p.player_id GROUP BY 1, 2""",
+    "saved_tables": _with(_PLAYERS, _SESSIONS, _TRANSACTIONS, _ISLANDS, _PLAYS, _COHORTS, _MEMBERS) + """
+SELECT 'players' AS table_name, concat_ws('|', city, country, create_date, device_type, ip_address, last_login_date, latitude,
+    (SELECT coalesce(CAST(sum(amount) AS BIGINT), 0) FROM transactions t WHERE t.player_id = p.player_id AND amount > 0),
+    longitude, player_id, player_level, state, total_time_played) AS row_text FROM players p
+UNION ALL SELECT 'islands', concat_ws('|', avg_rating, category, DATE '2001-01-29' + CAST(island_id % 31 AS INT), creator_player_id,
+    island_id, island_name, total_plays) FROM island_plays
+UNION ALL SELECT 'sessions', concat_ws('|', deaths, device_type, eliminations, epoch_us(end_time), ip_address, island_id,
+    objectives_completed, player_id, score, session_id, epoch_us(start_time), status, time_played_minutes) FROM sessions
+UNION ALL SELECT 'transactions', concat_ws('|', amount, credit_card_last4, player_id, epoch_us("timestamp"), transaction_id, type)
+  FROM transactions
+UNION ALL SELECT 'cohorts', concat_ws('|', cohort_id, CASE WHEN cohort_id = 5 THEN DATE '2001-03-30' ELSE DATE '2001-01-29' END, name)
+  FROM cohort_names
+UNION ALL SELECT 'player_cohorts', concat_ws('|', cohort_id, player_id) FROM members""",
     "table_row_counts": _with(_PLAYERS, _TRANSACTIONS, _MEMBERS) + """
 SELECT 'players' AS table_name, count(*) AS cnt FROM players
 UNION ALL SELECT 'islands', count(*) FROM part
@@ -172,7 +165,7 @@ UNION ALL SELECT 'transactions', count(*) FROM transactions
 UNION ALL SELECT 'cohorts', 8
 UNION ALL SELECT 'player_cohorts', count(*) FROM members""",
     "globe_with_fallback": _with(_SESSIONS, f"sample AS ({_sample_rows()})") + """
-SELECT * FROM sample WHERE NOT EXISTS (SELECT 1 FROM sessions WHERE status = 'active')""",
+SELECT * FROM sample WHERE NOT EXISTS (SELECT 1 FROM sessions WHERE start_time > (SELECT max(start_time) FROM sessions))""",
     "completed_sessions": _with(_SESSIONS) + """
 SELECT session_id, player_id, start_time FROM sessions WHERE status = 'completed'""",
     "positive_transactions": _with(_TRANSACTIONS) + """
@@ -205,16 +198,21 @@ SELECT session_id, strftime(start_time - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') |
     "session_long_date": _with(_SESSIONS) + """
 SELECT session_id, strftime(start_time, '%B %d, %Y at %I:%M %p') AS long_date FROM sessions""",
     "agent_response_text": """
-SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'assistant'""",
+WITH replies AS (
+  SELECT conv_id, turn, (conv_id + turn) % 4 AS shape, CASE (conv_id + turn) % 4
+    WHEN 0 THEN CAST(to_json({'output': [{'content': [{'text': text}]}]}) AS VARCHAR)
+    WHEN 1 THEN CAST(to_json({'choices': [{'message': {'content': text}}]}) AS VARCHAR)
+    WHEN 2 THEN text ELSE CAST(to_json({'reply': text}) AS VARCHAR) END AS body
+  FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN shape = 2 THEN '❌ API Error 503: ' || body
+  ELSE coalesce(TRY_CAST(body AS JSON) ->> '$.output[0].content[0].text', TRY_CAST(body AS JSON) ->> '$.choices[0].message.content',
+    '❌ Error: Unexpected response format. Response: ' || body) END AS answer
+FROM replies""",
     "conversation_payload": """
-WITH parts AS (
-  SELECT conv_id, turn // 1000 AS part,
-    string_agg(CAST(to_json({'role': role, 'content': text}) AS VARCHAR), ',' ORDER BY turn) AS body
-  FROM conversations GROUP BY conv_id, turn // 1000)
-SELECT conv_id, part,
-  CASE WHEN part = min(part) OVER (PARTITION BY conv_id) THEN '{"input":[' ELSE ',' END || body ||
-  CASE WHEN part = max(part) OVER (PARTITION BY conv_id) THEN '],"max_output_tokens":1000}' ELSE '' END AS payload
-FROM parts""",
+SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN '{"input":[' ELSE ',' END ||
+  CAST(to_json({'role': role, 'content': text}) AS VARCHAR) ||
+  CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN '],"max_output_tokens":1000}' ELSE '' END AS piece
+FROM conversations""",
     "sessions_with_location": _with(_PLAYERS, _SESSIONS) + """
 SELECT session_id, s.player_id, city, country, latitude, longitude
 FROM sessions s JOIN players p ON s.player_id = p.player_id WHERE status = 'completed'""",
@@ -285,6 +283,7 @@ FROM island_plays""",
     "island_active_players_7d": _with(_SESSIONS, _ISLANDS) + """
 SELECT i.island_id, count(DISTINCT s.player_id) AS active_players
 FROM islands i LEFT JOIN sessions s ON i.island_id = s.island_id AND start_time > TIMESTAMP '2024-01-24 00:00:00'
+  AND start_time <= TIMESTAMP '2024-01-31 00:00:00'
 GROUP BY i.island_id""",
     "island_peak_concurrency": _with(_SESSIONS) + """
 SELECT island_id, CAST(greatest(max(running), 0) AS BIGINT) AS peak_concurrent FROM (
@@ -349,28 +348,14 @@ SELECT island_name, category, total_plays, avg_rating FROM island_plays ORDER BY
 SELECT player_id FROM (
   SELECT player_id, row_number() OVER (ORDER BY {_draw('player_id', '42')}, player_id) AS r, count(*) OVER () AS n FROM players)
 WHERE r <= round_even(0.4 * n, 0)""",
-    "weighted_city_assignment": _with(
-        _PLAYERS, _PHASE, _CITIES, _DEVICES, _GROWTH,
-        "with_region AS (" + _pick(
-            "(SELECT player_id, phase FROM phased)", "growth", "phase", "region", "weight", "region:42", "o.region"
-        ) + ")",
-        "with_city AS (" + _pick(
-            "(SELECT player_id, region FROM with_region)", "cities", "region", "city", "weight", "city:42",
-            "o.city, o.state, o.country, o.lat, o.lon",
-        ) + ")",
-        "with_device AS (" + _pick(
-            "(SELECT * EXCLUDE (h) FROM with_city)", "devices", "region", "device_type", "weight", "device:42",
-            "o.device_type",
-        ) + ")",
-    ) + """
-SELECT player_id, region, city, state, country, CAST(lat AS DOUBLE) AS latitude, CAST(lon AS DOUBLE) AS longitude,
-  device_type FROM with_device""",
     "one_session_per_payer": _with(_SESSIONS, _TRANSACTIONS) + f"""
 SELECT player_id, session_id FROM (
   SELECT player_id, session_id,
     row_number() OVER (PARTITION BY player_id ORDER BY {_draw('session_id', '42')}, session_id) AS r
   FROM sessions WHERE player_id IN (SELECT player_id FROM transactions)) WHERE r = 1""",
     "stream_active_sessions_5min": _WINDOWS,
+    "stream_closed_windows": f"""
+SELECT * FROM ({_WINDOWS}) WHERE window_end <= (SELECT max(ts) FROM events WHERE event_type NOT IN ('error', 'view')) - INTERVAL 10 MINUTE""",
     "active_sessions_5min": _WINDOWS,
     "stream_globe": _with(_PLAYERS, _SESSIONS, _GLOBE) + "SELECT * FROM globe",
     "stream_location_counts": _with(_PLAYERS, _SESSIONS) + """

@@ -29,9 +29,9 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 
 def growth_phase(created: Column, start: dt.date) -> Column:
-    """1 in the first two months of 30 days after `start`, 2 in the next two, then 3."""
+    """1 in the first two months of 30 days after `start`, 2 in the next two, then 3; null for null."""
     months = F.datediff(created, as_date(start)) / 30
-    return F.when(months < 2, 1).when(months < 4, 2).otherwise(3).cast("int")
+    return F.when(months < 2, 1).when(months < 4, 2).when(months >= 4, 3).cast("int")
 
 
 def activity_end(created: Column, last_login: Column, as_of: dt.date) -> Column:

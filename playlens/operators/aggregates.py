@@ -46,22 +46,25 @@ def revenue_by_country(transactions: DataFrame, players: DataFrame) -> DataFrame
     )
 
 
-def with_percent(counts: DataFrame, part: str, whole: DataFrame) -> DataFrame:
-    """Add `pct`: the share of `part` in the row count of `whole`."""
-    total = whole.agg(_rows("total")).scalar()
-    return counts.withColumn("pct", numbers.percent(F.col(part), total))
+def with_percent(some: DataFrame, part: str, counts: DataFrame) -> DataFrame:
+    """Add `pct`: the share of `part` in its sum over `counts`, of which `some` are rows.
+
+    The sum is over groups, whose exchange is computed once for both.
+    """
+    total = counts.agg(F.sum(part)).scalar()
+    return some.withColumn("pct", numbers.percent(F.col(part), total))
 
 
 def by_country(players: DataFrame, n: int = 10) -> DataFrame:
     """The n countries with most players and their share of all players."""
     counts = players.groupBy("country").agg(_rows("players"))
     top = counts.orderBy(F.desc("players"), "country").limit(n)
-    return with_percent(top, "players", players).orderBy(F.desc("players"), "country")
+    return with_percent(top, "players", counts).orderBy(F.desc("players"), "country")
 
 
 def device_distribution(players: DataFrame) -> DataFrame:
     counts = players.groupBy("device_type").agg(_rows("players"))
-    return with_percent(counts, "players", players).orderBy(F.desc("players"), "device_type")
+    return with_percent(counts, "players", counts).orderBy(F.desc("players"), "device_type")
 
 
 def total_revenue(transactions: DataFrame) -> DataFrame:

@@ -7,37 +7,20 @@ from pyspark.sql import DataFrame, functions as F
 from playlens.functions import texts
 
 
-def conversation_payload(
-    turns: DataFrame, max_output_tokens: int = 1000, turns_per_part: int = 1000
-) -> DataFrame:
-    """The JSON request body of each conversation, in parts of `turns_per_part` turn numbers.
-
-    A conversation whose turns are numbered below that is one row (part 0). A longer one
-    continues in the following parts, and its body is their concatenation in order, as a
-    chunked upload sends it. So no task ever gathers a whole conversation of any length.
-    Turn numbers must be unique within a conversation.
+def conversation_payload(turns: DataFrame, max_output_tokens: int = 1000) -> DataFrame:
+    """The JSON request body of each conversation, one piece per turn.
+
+    The pieces of a conversation, put together in the order of their turns, are its body: the
+    first opens it, the last closes it. No task gathers a conversation, whatever its
+    length. Turn numbers must be unique within a conversation; a turn without one is an error.
     """
-    part = F.floor(F.col("turn") / turns_per_part).cast("bigint")
-    numbered = turns.select("conv_id", part.alias("part"), "turn", "role", "content")
-    parts = numbered.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    ends = parts.groupBy("conv_id").agg(F.min("part").alias("first"), F.max("part").alias("last"))
-    # Only part numbers go through this join, never text.
-    marked = parts.join(ends, "conv_id").select(
-        "conv_id",
-        "part",
-        F.when(F.col("part") == F.col("first"), '{"input":[').otherwise(",").alias("opening"),
-        F.when(F.col("part") == F.col("last"), f'],"max_output_tokens":{max_output_tokens}}}')
-        .otherwise("")
-        .alias("closing"),
-    )
-    body = F.sort_array(
-        F.collect_list(F.struct("turn", texts.turn_json(F.col("role"), F.col("content")).alias("json")))
-    )["json"]
-    return (
-        numbered.groupBy("conv_id", "part")
-        .agg(F.array_join(body, ",").alias("body"))
-        .join(marked, ["conv_id", "part"])
-        .select("conv_id", "part", F.concat("opening", "body", "closing").alias("payload"))
+    number = F.coalesce(F.col("turn"), F.raise_error(F.lit("a turn has no number")).cast("bigint"))
+    pieces = turns.select("conv_id", number.alias("turn"), texts.turn_json(F.col("role"), F.col("content")).alias("json"))
+    ends = turns.groupBy(F.col("conv_id").alias("of")).agg(F.min("turn").alias("first"), F.max("turn").alias("last"))
+    opening = F.when(F.col("turn") == F.col("first"), '{"input":[').otherwise(",")
+    closing = F.when(F.col("turn") == F.col("last"), f'],"max_output_tokens":{max_output_tokens}}}').otherwise("")
+    return pieces.join(ends, F.col("conv_id").eqNullSafe(F.col("of"))).select(
+        "conv_id", "turn", F.concat(opening, "json", closing).alias("piece")
     )
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from playlens.functions import numbers, texts, times
+from playlens.functions import numbers, texts
 from playlens.operators.filters import completed
+from playlens.session import workspace
 
 PLACE = ["latitude", "longitude", "city", "country"]
+#: Rows that may be broadcast, of five columns each.
+CANDIDATES = 100_000
 
 
 def _newest_first() -> list[Column]:
@@ -28,24 +31,26 @@ def latest_located(
 ) -> DataFrame:
     """The newest n sessions that have a player, with the player's place.
 
-    Joining all sessions to all players only to keep n rows would shuffle the fact table.
-    The newest margin*n sessions are looked up first, a set small enough to broadcast by
-    construction. If n of them have a player, the n-th start time bounds the answer from
-    below, and the scan for the real join skips everything older. If not, the bound is the
-    smallest timestamp and all sessions are joined. Sessions without a start time are never
-    recent.
+    Joining all sessions to all players only to keep n rows would shuffle both. The newest
+    margin*n sessions, a set small enough to broadcast by construction, are looked up in one
+    pass over sessions and players, and the n rows found are saved. Only if fewer than n of
+    them have a player are all sessions joined; the result is the same. Sessions without a
+    start time come last, as in `latest`.
     """
+    if n * margin > CANDIDATES:
+        raise ValueError(f"n * margin may be {CANDIDATES} at most, the rows that are broadcast")
     done = completed(sessions, status).select(
         "session_id", "player_id", "start_time", "time_played_minutes"
     )
     places = players.select("player_id", *PLACE)
     candidates = done.orderBy(*_newest_first()).limit(margin * n)
-    found = newest_of(players.select("player_id").join(F.broadcast(candidates), "player_id"), n)
-    earliest = times.moment_like("0001-01-01 00:00:00", sessions, "start_time")
-    bound = found.agg(
-        F.coalesce(F.when(F.count(F.lit(1)) >= n, F.min("start_time")), earliest)
-    ).scalar()
-    return newest_of(done.where(F.col("start_time") >= bound).join(places, "player_id"), n)
+    found = newest_of(places.join(F.broadcast(candidates), "player_id"), n)
+    spark, path = sessions.sparkSession, workspace(sessions.sparkSession, "newest")
+    found.write.parquet(path)
+    saved = spark.read.schema(found.schema).parquet(path)
+    if saved.count() == n:
+        return saved
+    return newest_of(done.join(places, "player_id"), n)
 
 
 def newest_of(located: DataFrame, n: int) -> DataFrame:
@@ -96,11 +101,9 @@ def globe_measured(
 def marker_size(places: DataFrame, column: str, base: int = 8, span: int = 35) -> DataFrame:
     """Scale `column` to a marker size between `base` and base + span.
 
-    `places` is a feed of at most n rows, so the limits come from one window over it: a
-    second aggregate would compute the whole feed again.
+    The limits are scalar subqueries over `places`; its last exchange is computed once.
     """
-    feed = Window.partitionBy(F.lit(0))
-    low, high = F.min(column).over(feed), F.max(column).over(feed)
+    low, high = places.agg(F.min(column)).scalar(), places.agg(F.max(column)).scalar()
     return places.withColumn(
         "marker_size", F.lit(base) + (F.col(column) - low) / (high - low + 1) * span
     )

@@ -75,6 +75,11 @@ def reference_time(players: DataFrame, transactions: DataFrame, sessions: DataFr
     )
 
 
-def player_region(players: DataFrame, region_of_country: DataFrame) -> DataFrame:
-    """Players with the region looked up by country; unknown countries stay, without one."""
-    return players.drop("region").join(region_of_country, "country", "left")
+def player_region(players: DataFrame, countries: DataFrame, regions: DataFrame) -> DataFrame:
+    """Players with the region of their country; unknown countries stay, without one.
+
+    `countries` has (country, region_id), `regions` (region_id, region). They are looked up one after
+    the other: Spark knows the size of each, but would take their join for as large as
+    the product and shuffle all players by country.
+    """
+    return players.drop("region").join(countries, "country", "left").join(regions, "region_id", "left").drop("region_id")

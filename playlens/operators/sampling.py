@@ -1,4 +1,4 @@
-"""Reproducible sampling: exact fractions, weighted draws and one row per group."""
+"""Reproducible sampling: exact fractions and one row per group."""
 
 from __future__ import annotations
 
@@ -46,73 +46,12 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> Data
     return below.unionByName(at_edge).drop("_draw", "_bucket")
 
 
-def weighted_pick(
-    df: DataFrame,
-    key: str,
-    options: DataFrame,
-    within: str,
-    option: str,
-    weight: str,
-    seed: str,
-) -> DataFrame:
-    """Give each row one of the `options` that share its `within` value.
+def one_per_player(sessions: DataFrame, transactions: DataFrame, seed: int) -> DataFrame:
+    """One random session of every player with a transaction; a hash aggregate of two numbers.
 
-    An option is drawn with probability proportional to its weight. `options` holds a few
-    rows per `within` value; from a constant table its size is known, so that it is
-    broadcast without a hint. Weights count in millionths, and draws compare as integers.
+    Two sessions of a player share a draw of 60 bits with negligible probability; then either
+    may be the one.
     """
-    order = Window.partitionBy(within).orderBy(option)
-    share = F.round(F.col(weight) * 1_000_000).cast("bigint")
-    carried = [c for c in options.columns if c not in (within, weight)]
-    # One row per `within` value, so the join has one match and the draw is computed once.
-    choices = (
-        options.withColumn("_share", share)
-        .withColumn("_high", F.sum("_share").over(order))
-        .withColumn("_low", F.col("_high") - F.col("_share"))
-        .groupBy(within)
-        .agg(
-            F.collect_list(F.struct("_low", "_high", *carried)).alias("_choices"),
-            F.sum("_share").alias("_total"),
-        )
-    )
-    spot = F.col("_draw") % F.col("_total")
-    hit = F.filter("_choices", lambda c: (spot >= c["_low"]) & (spot < c["_high"]))
-    return (
-        df.withColumn("_draw", draw(F.col(key), seed))
-        .join(choices, within)
-        .withColumn("_pick", hit[0])
-        .select(*df.columns, *(F.col("_pick")[c].alias(c) for c in carried))
-    )
-
-
-def assign_city(
-    players: DataFrame,
-    growth_weights: DataFrame,
-    cities: DataFrame,
-    devices: DataFrame,
-    seed: int,
-) -> DataFrame:
-    """Draw region (by growth phase), then city and device (by region) for each player."""
-    placed = weighted_pick(
-        players.select("player_id", "phase"), "player_id", growth_weights,
-        "phase", "region", "expected_weight", f"region:{seed}",
-    )
-    placed = weighted_pick(
-        placed, "player_id", cities, "region", "city", "weight", f"city:{seed}"
-    )
-    placed = weighted_pick(
-        placed, "player_id", devices, "region", "device_type", "weight", f"device:{seed}"
-    )
-    return placed.select(
-        "player_id", "region", "city", "state", "country",
-        F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "device_type",
-    )
-
-
-def one_per_player(sessions: DataFrame, transactions: DataFrame, seed: int) -> DataFrame:
-    """One random session of every player with a transaction; a hash aggregate, no sort."""
-    lowest = F.min(F.struct(draw(F.col("session_id"), seed).alias("draw"), F.col("session_id")))
-    picks = sessions.groupBy("player_id").agg(lowest.alias("pick"))
-    return picks.join(payer_ids(transactions), "player_id", "left_semi").select(
-        "player_id", "pick.session_id"
-    )
+    pick = F.min_by("session_id", draw(F.col("session_id"), seed)).alias("session_id")
+    picks = sessions.groupBy("player_id").agg(pick)
+    return picks.join(payer_ids(transactions), "player_id", "left_semi").select("player_id", "session_id")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playlens.operators import (
     aggregates, chat, cohorts, derive, filters, globe, joins, panels, sampling,
 )
-from playlens.functions import times
 from playlens.plans import feed, warehouse
 from playlens.session import workspace
 from playlens.sources import bindings, dimensions, tables
@@ -23,11 +23,34 @@ SESSION_COLUMNS = [
 ]
 
 
-def _save_and_read(b: Bindings) -> DataFrame:
+def _stored(b: Bindings) -> dict[str, DataFrame]:
+    """The six final tables, saved and scanned."""
     folder = workspace(b.spark, "tables")
     raw = {name: df for name, df in b.tables.items() if name != "player_cohorts"}
-    warehouse.save_warehouse(b.spark, raw, folder, END, COHORT_REGION)
-    return tables.scan(b.spark, folder, "player_cohorts")
+    paths = warehouse.save_warehouse(b.spark, raw, folder, END, COHORT_REGION)
+    return {name: tables.scan(b.spark, folder, name) for name in paths}
+
+
+def _as_text(name: str, df: DataFrame) -> DataFrame:
+    """(table_name, row_text): all columns of a table in one, times as microseconds."""
+    columns = [F.unix_micros(c) if kind == "timestamp" else F.col(c) for c, kind in sorted(df.dtypes)]
+    return df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *(c.cast("string") for c in columns)).alias("row_text"))
+
+
+def _stored_rows(b: Bindings) -> DataFrame:
+    return reduce(DataFrame.unionByName, (_as_text(name, df) for name, df in _stored(b).items()))
+
+
+def _stored_region_hours(b: Bindings) -> DataFrame:
+    """Peak hours over tables as any user would scan them: stored players have no region."""
+    stored = _stored(b)
+    return panels.peak_hours(stored["sessions"], joins.player_region(stored["players"], b.countries, b.regions))
+
+
+def _after_the_newest(b: Bindings) -> DataFrame:
+    """Sessions that start after the newest one, i.e. none; only the data tell."""
+    newest = b.sessions.agg(F.max("start_time")).scalar()
+    return b.sessions.where(F.col("start_time") > newest)
 
 
 def _events_stream(b: Bindings) -> tuple[SparkSession, DataFrame]:
@@ -42,9 +65,15 @@ def _stream_windows(b: Bindings) -> DataFrame:
     target = workspace(b.spark, "windows")
     counts = activity.active_sessions(sessions)
     activity.refresh_windows(counts, target, workspace(b.spark, "windows-state")).awaitTermination()
-    return b.spark.read.schema(
-        "window_start timestamp_ntz, window_end timestamp_ntz, active_sessions bigint"
-    ).parquet(target)
+    return activity.running_result(b.spark, target)
+
+
+def _stream_closed_windows(b: Bindings) -> DataFrame:
+    _, sessions = _events_stream(b)
+    target = workspace(b.spark, "closed-windows")
+    counts = activity.active_sessions(sessions)
+    activity.append_windows(counts, target, workspace(b.spark, "closed-windows-state")).awaitTermination()
+    return b.spark.read.schema(counts.schema).parquet(target)
 
 
 def _stream_locations(b: Bindings) -> DataFrame:
@@ -65,13 +94,6 @@ def _stream_globe(b: Bindings) -> DataFrame:
     return globe.measure_places(activity.running_result(b.spark, target))
 
 
-def _draw_cities(b: Bindings) -> DataFrame:
-    phased = b.players.withColumn("phase", times.growth_phase(F.col("create_date"), START))
-    return sampling.assign_city(
-        phased, dimensions.growth_weight_dimension(b.spark), dimensions.geo_dimension(b.spark), dimensions.device_dimension(b.spark), SEED
-    )
-
-
 def _measured(b: Bindings) -> DataFrame:
     return globe.globe_measured(b.sessions, b.players)
 
@@ -79,10 +101,12 @@ def _measured(b: Bindings) -> DataFrame:
 REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
     # Sources and sinks
     "scan_sessions": lambda b: b.sessions.select(*SESSION_COLUMNS),
-    "save_tables_roundtrip": _save_and_read,
-    "table_row_counts": lambda b: tables.table_row_counts(b.tables),
+    "save_tables_roundtrip": lambda b: _stored(b)["player_cohorts"],
+    "saved_tables": _stored_rows,
+    "saved_peak_hours": _stored_region_hours,
+    "table_row_counts": lambda b: tables.table_row_counts(_stored(b)),
     "globe_with_fallback": lambda b: feed.places_or_sample(
-        b.sessions, b.players, dimensions.sample_locations(b.spark), status="active"
+        _after_the_newest(b), b.players, dimensions.sample_locations(b.spark)
     ),
     # Filters
     "completed_sessions": lambda b: filters.completed(b.sessions).select(
@@ -115,7 +139,7 @@ REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
     ),
     "session_local_time": lambda b: derive.local_times(b.sessions).select("session_id", "local_time"),
     "session_long_date": lambda b: derive.long_dates(b.sessions).select("session_id", "long_date"),
-    "agent_response_text": lambda b: chat.response_text(b.responses).select("conv_id", "turn", "answer"),
+    "agent_response_text": lambda b: chat.response_text(b.responses, "status").select("conv_id", "turn", "answer"),
     "conversation_payload": lambda b: chat.conversation_payload(b.turns),
     # Joins
     "sessions_with_location": lambda b: joins.with_location(b.sessions, b.players).select(
@@ -136,7 +160,7 @@ REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
         "player_id", "cohort_id", "name"
     ),
     "payer_reference_time": lambda b: joins.reference_time(b.players, b.transactions, b.sessions),
-    "player_region": lambda b: joins.player_region(b.players, b.region_of_country).select(
+    "player_region": lambda b: joins.player_region(b.players, b.countries, b.regions).select(
         "player_id", "country", "region"
     ),
     # Aggregates
@@ -181,10 +205,10 @@ REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
     "sample_players_40pct": lambda b: sampling.sample_fraction(
         b.players.select("player_id"), "player_id", 0.4, SEED
     ),
-    "weighted_city_assignment": _draw_cities,
     "one_session_per_payer": lambda b: sampling.one_per_player(b.sessions, b.transactions, SEED),
     # Streaming
     "stream_active_sessions_5min": _stream_windows,
+    "stream_closed_windows": _stream_closed_windows,
     "active_sessions_5min": lambda b: activity.active_sessions(b.sessions),
     "stream_location_counts": _stream_locations,
     "stream_globe": _stream_globe,

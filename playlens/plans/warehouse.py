@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from playlens.operators import cohorts, joins
 from playlens.sources import tables
+from playlens.sources.schemas import RAW_PLAYERS
 
 CLUSTERING = {"sessions": ["start_time", "session_id"]}
 
@@ -18,16 +19,16 @@ def save_warehouse(
     """Save players, islands, sessions, transactions, cohorts and player_cohorts; name -> path.
 
     Raw players, which carry the helper column region, and raw islands go to a staging
-    folder. Lifetime spend, plays and memberships are then derived from what is stored, so
+    folder beside `folder`. Lifetime spend, plays and memberships are then derived from what is stored, so
     neither a lost executor nor a second derived table computes the raw frames again.
     """
     stored = {name: tables.with_zone(df) for name, df in raw.items()}
-    staging = f"{folder.rstrip('/')}/staging"
+    staging = f"{folder.rstrip('/')}-staging"
     tables.save_tables({name: stored[name] for name in ("players", "islands")}, staging)
     paths = tables.save_tables(
         {name: stored[name] for name in ("sessions", "transactions", "cohorts")}, folder, CLUSTERING
     )
-    players = tables.scan(spark, staging, "players")
+    players = tables.scan(spark, staging, "players", RAW_PLAYERS)
     islands = tables.scan(spark, staging, "islands")
     sessions = tables.scan(spark, folder, "sessions")
     transactions = tables.scan(spark, folder, "transactions")

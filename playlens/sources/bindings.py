@@ -20,11 +20,12 @@ END = dt.date(2001, 8, 1)
 SESSIONS_AS_OF = dt.datetime(2024, 1, 31)
 COUNTRIES = ["NATION_1", "NATION_6", "NATION_11", "NATION_16", "NATION_21"]
 COHORT_REGION = "AMERICA"
+# Expected shares of new players per region in phases 1, 2 and 3; the test regions' own numbers.
 PHASE_WEIGHTS = {
-    "AFRICA": (0.60, 0.50, 0.45),
-    "EUROPE": (0.25, 0.20, 0.15),
-    "ASIA": (0.10, 0.10, 0.08),
-    "AMERICA": (0.05, 0.20, 0.32),
+    "AFRICA": (0.40, 0.35, 0.30),
+    "EUROPE": (0.30, 0.25, 0.25),
+    "ASIA": (0.20, 0.25, 0.25),
+    "AMERICA": (0.10, 0.15, 0.20),
 }
 
 RAW = {
@@ -97,12 +98,12 @@ class Bindings:
         )
 
     @cached_property
-    def region_of_country(self) -> DataFrame:
-        return (
-            self.raw("nation")
-            .join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(F.col("n_name").alias("country"), F.col("r_name").alias("region"))
-        )
+    def countries(self) -> DataFrame:
+        return self.raw("nation").select(F.col("n_name").alias("country"), F.col("n_regionkey").alias("region_id"))
+
+    @cached_property
+    def regions(self) -> DataFrame:
+        return self.raw("region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region"))
 
     @cached_property
     def players(self) -> DataFrame:
@@ -137,7 +138,7 @@ class Bindings:
 
     @cached_property
     def transactions(self) -> DataFrame:
-        """Orders in status P are payments; the rest only show that the player was around."""
+        """Every order is a transaction; those of the lowest priority are refunds."""
         priority = F.col("o_orderpriority")
         kind = (
             F.when(priority == "1-URGENT", "purchase_skin")
@@ -149,7 +150,6 @@ class Bindings:
         cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
         return (
             self.raw("orders")
-            .where(F.col("o_orderstatus") == "P")
             .withColumn("type", kind)
             .select(
                 F.col("o_orderkey").alias("transaction_id"),
@@ -191,7 +191,7 @@ class Bindings:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Assistant turns in the two reply shapes: output (even conversations), choices (odd)."""
+        """Assistant turns as replies: the output list, the choices list, an HTTP error, another body."""
         text = F.col("content")
         output = F.to_json(
             F.struct(F.array(F.struct(F.array(F.struct(text.alias("text"))).alias("content"))).alias("output"))
@@ -199,8 +199,11 @@ class Bindings:
         choices = F.to_json(
             F.struct(F.array(F.struct(F.struct(text).alias("message"))).alias("choices"))
         )
+        other = F.to_json(F.struct(text.alias("reply")))
+        shape = (F.col("conv_id") + F.col("turn")) % 4
         return self.turns.where(F.col("role") == "assistant").select(
-            "conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, output).otherwise(choices).alias("body")
+            "conv_id", "turn", F.when(shape == 2, 503).otherwise(200).alias("status"),
+            F.when(shape == 0, output).when(shape == 1, choices).when(shape == 2, text).otherwise(other).alias("body"),
         )
 
     @cached_property

@@ -1,87 +1,11 @@
-"""Small constant tables: geography, growth weights, cohorts and the sample globe."""
+"""Small constant tables: growth weights, cohorts and the sample globe."""
 
 from __future__ import annotations
 
 import datetime as dt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Regions, their cities (city, state, country, lat, lon, weight), device
-# weights and the usual transaction range in currency units.
-GEOGRAPHY = {
-    "LATAM": (
-        [
-            ("São Paulo", "SP", "Brazil", -23.5505, -46.6333, 0.25),
-            ("Rio de Janeiro", "RJ", "Brazil", -22.9068, -43.1729, 0.15),
-            ("Mexico City", "CDMX", "Mexico", 19.4326, -99.1332, 0.20),
-            ("Buenos Aires", "BA", "Argentina", -34.6037, -58.3816, 0.12),
-            ("Bogotá", "DC", "Colombia", 4.7110, -74.0721, 0.10),
-            ("Santiago", "RM", "Chile", -33.4489, -70.6693, 0.08),
-            ("Lima", "LIM", "Peru", -12.0464, -77.0428, 0.06),
-            ("Guadalajara", "JAL", "Mexico", 20.6597, -103.3496, 0.04),
-        ],
-        {"mobile": 0.65, "pc": 0.25, "console": 0.10},
-        (5, 20),
-    ),
-    "NA": (
-        [
-            ("Los Angeles", "CA", "USA", 34.0522, -118.2437, 0.20),
-            ("New York", "NY", "USA", 40.7128, -74.0060, 0.18),
-            ("Chicago", "IL", "USA", 41.8781, -87.6298, 0.12),
-            ("Toronto", "ON", "Canada", 43.6532, -79.3832, 0.15),
-            ("Houston", "TX", "USA", 29.7604, -95.3698, 0.10),
-            ("Atlanta", "GA", "USA", 33.7490, -84.3880, 0.10),
-            ("Miami", "FL", "USA", 25.7617, -80.1918, 0.08),
-            ("Seattle", "WA", "USA", 47.6062, -122.3321, 0.07),
-        ],
-        {"mobile": 0.35, "pc": 0.40, "console": 0.25},
-        (10, 50),
-    ),
-    "EU": (
-        [
-            ("London", "ENG", "UK", 51.5074, -0.1278, 0.25),
-            ("Paris", "IDF", "France", 48.8566, 2.3522, 0.20),
-            ("Berlin", "BE", "Germany", 52.5200, 13.4050, 0.15),
-            ("Madrid", "MD", "Spain", 40.4168, -3.7038, 0.15),
-            ("Amsterdam", "NH", "Netherlands", 52.3676, 4.9041, 0.10),
-            ("Rome", "LAZ", "Italy", 41.9028, 12.4964, 0.10),
-            ("Stockholm", "ST", "Sweden", 59.3293, 18.0686, 0.05),
-        ],
-        {"mobile": 0.40, "pc": 0.45, "console": 0.15},
-        (8, 40),
-    ),
-    "ASIA": (
-        [
-            ("Tokyo", "TYO", "Japan", 35.6762, 139.6503, 0.30),
-            ("Seoul", "SEO", "South Korea", 37.5665, 126.9780, 0.25),
-            ("Singapore", "SG", "Singapore", 1.3521, 103.8198, 0.20),
-            ("Mumbai", "MH", "India", 19.0760, 72.8777, 0.15),
-            ("Sydney", "NSW", "Australia", -33.8688, 151.2093, 0.10),
-        ],
-        {"mobile": 0.70, "pc": 0.20, "console": 0.10},
-        (3, 25),
-    ),
-}
-
-# Share of new players expected per region in growth phases 1, 2 and 3.
-GROWTH_WEIGHTS = {
-    "NA": (0.60, 0.50, 0.45),
-    "EU": (0.25, 0.20, 0.15),
-    "ASIA": (0.10, 0.10, 0.08),
-    "LATAM": (0.05, 0.20, 0.32),
-}
-
-# Island themes and transaction types.
-ISLAND_THEMES = [
-    "Battle Royale", "Team Deathmatch", "Capture the Flag", "Zone Wars", "Box Fights",
-    "Edit Course", "Parkour", "Racing", "Survival", "Creative Sandbox", "Prop Hunt",
-    "Hide and Seek", "Red vs Blue", "Gun Game", "Murder Mystery",
-]
-TRANSACTION_TYPES = [
-    "purchase_vbucks", "purchase_skin", "purchase_emote", "purchase_pickaxe",
-    "purchase_glider", "purchase_battle_pass", "purchase_bundle", "refund",
-]
+from pyspark.sql import DataFrame, SparkSession
 
 # Cohort ids, names and days after the start on which each was created.
 COHORTS = [
@@ -110,49 +34,19 @@ SAMPLE_LOCATIONS = [
     ("Mexico", "Mexico City", 19.4326, -99.1332, 45, 45, 42.7),
 ]
 
-_CITY = pa.struct([
-    ("city", pa.string()), ("state", pa.string()), ("country", pa.string()),
-    ("lat", pa.float64()), ("lon", pa.float64()), ("weight", pa.float64()),
-])
-
-
 def _constant(spark: SparkSession, rows: list[tuple], columns: list[tuple]) -> DataFrame:
     """A constant table. From Arrow it becomes a local relation, whose size Spark knows."""
     schema = pa.schema(columns)
     return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema))
 
 
-def regions(spark: SparkSession) -> DataFrame:
-    """One nested row per region."""
-    rows = [
-        (name, [dict(zip(_CITY.names, city)) for city in cities], list(devices.items()), dict(zip(("low", "high"), spend)))
-        for name, (cities, devices, spend) in GEOGRAPHY.items()
-    ]
-    return _constant(spark, rows, [
-        ("region", pa.string()),
-        ("cities", pa.list_(_CITY)),
-        ("device_weights", pa.map_(pa.string(), pa.float64())),
-        ("avg_transaction", pa.struct([("low", pa.int32()), ("high", pa.int32())])),
-    ])
-
-
-def geo_dimension(spark: SparkSession) -> DataFrame:
-    """Region and city, flat: 28 rows."""
-    return regions(spark).select("region", F.inline("cities"))
-
-
-def device_dimension(spark: SparkSession) -> DataFrame:
-    """Device weights per region, flat."""
-    return regions(spark).select("region", F.explode("device_weights").alias("device_type", "weight"))
-
-
 def growth_weight_dimension(
-    spark: SparkSession, weights: dict[str, tuple[float, float, float]] | None = None
+    spark: SparkSession, weights: dict[str, tuple[float, float, float]]
 ) -> DataFrame:
     """(phase, region, expected_weight) from a table of weights per region."""
     rows = [
         (phase, region, share)
-        for region, shares in (weights or GROWTH_WEIGHTS).items()
+        for region, shares in weights.items()
         for phase, share in enumerate(shares, start=1)
     ]
     columns = [("phase", pa.int32()), ("region", pa.string()), ("expected_weight", pa.float64())]

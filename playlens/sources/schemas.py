@@ -6,13 +6,14 @@ by `timestamp_ntz`. The operators take either.
 
 from __future__ import annotations
 
-PLAYERS = (
+RAW_PLAYERS = (
     "player_id bigint, ip_address bigint, create_date date, city string, state string, "
     "country string, region string, latitude double, longitude double, player_level bigint, "
     "device_type string, total_time_played bigint, last_login_date date"
 )
 
-FINAL_PLAYERS = (
+#: As stored: with lifetime spend, without the helper column region (`joins.player_region` adds it).
+PLAYERS = (
     "player_id bigint, ip_address bigint, create_date date, city string, state string, "
     "country string, latitude double, longitude double, player_level bigint, "
     "device_type string, total_time_played bigint, last_login_date date, lifetime_spend bigint"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from playlens.sources.schemas import DOMAIN
 
@@ -28,6 +28,9 @@ def register_views(tables: dict[str, DataFrame]) -> None:
 
 def with_zone(df: DataFrame) -> DataFrame:
     """Times without a zone as UTC instants, the stored form; needs a session in UTC."""
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone.upper() not in ("UTC", "ETC/UTC", "GMT", "ETC/GMT", "Z", "+00:00"):
+        raise ValueError(f"the session must run in UTC, not in {zone}")
     zoned = {
         name: F.col(name).cast("timestamp") for name, kind in df.dtypes if kind == "timestamp_ntz"
     }
@@ -44,6 +47,8 @@ def save_tables(
     End the list with a unique column to keep a frequent value from filling one file.
     """
     paths = {name: f"{folder.rstrip('/')}/{name}" for name in tables}
+    if not paths:
+        return paths
 
     def save(name: str) -> None:
         df, columns = tables[name], (cluster_by or {}).get(name)
@@ -91,11 +96,10 @@ def catalog_row_counts(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def with_fallback(report: DataFrame, default: DataFrame) -> DataFrame:
-    """`report`, or `default` when it has no row; decided inside the plan, in one pass.
+    """`report`, or `default` when it has no row; decided inside the plan.
 
-    For results of a few rows, as handed to a client: a window over both picks the first
-    that has rows. Testing for rows beforehand would compute the report twice.
+    Whether there is a row is a scalar subquery over the report, whose last exchange is
+    computed once for both.
     """
-    both = report.withColumn("_choice", F.lit(0)).unionByName(default.withColumn("_choice", F.lit(1)))
-    best = F.min("_choice").over(Window.partitionBy(F.lit(0)))
-    return both.withColumn("_best", best).where("_choice = _best").drop("_choice", "_best")
+    empty = report.agg(F.count(F.lit(1)) == 0).scalar()
+    return report.unionByName(default.where(empty))

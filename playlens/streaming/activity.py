@@ -6,6 +6,7 @@ are narrowed on the stream.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -72,14 +73,15 @@ def _started(writer: DataStreamWriter, checkpoint: str, every: str | None) -> St
 def refresh_windows(
     counts: DataFrame, target: str, checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
-    """Replace the table at `target` by all windows after each batch.
+    """Keep all windows at `target`, read by `running_result`.
 
-    Complete mode hands over every window, a few bytes per five minutes of history. A batch
-    that is run again after a failure writes the same rows.
+    Complete mode hands over every window after each batch, a few bytes per five minutes of
+    history, and keeps a counter for each. `append_windows` is the mode for input without end.
     """
+    run = time.time_ns()
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+        _write_slot(batch, batch_id, target, run)
 
     return _started(counts.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)
 
@@ -92,28 +94,37 @@ def append_windows(
     return _started(writer, checkpoint, every)
 
 
+def _write_slot(rows: DataFrame, batch_id: int, target: str, run: int) -> None:
+    """Write a batch's result to its slot, marked with the run and the batch."""
+    marked = rows.withColumns({"run": F.lit(run).cast("bigint"), "batch": F.lit(batch_id).cast("bigint")})
+    marked.write.mode("overwrite").parquet(f"{target}/slot={batch_id % 2}")
+
+
 def _advance(
-    batch: DataFrame, batch_id: int, target: str, change: DataFrame, merge: Callable[[DataFrame], DataFrame]
+    batch: DataFrame, batch_id: int, target: str, run: int, change: DataFrame,
+    merge: Callable[[DataFrame], DataFrame],
 ) -> None:
     """Merge a batch's rows into the running result.
 
     Batches write to two slots in turn. Batch k reads the slot of batch k-1 and overwrites
     the other, so running it again gives the same result, and storage stays at two copies.
+    Readers of the other slot see all of it meanwhile.
     """
     rows = change
     if batch_id > 0:
         before = batch.sparkSession.read.parquet(f"{target}/slot={(batch_id - 1) % 2}")
-        rows = rows.unionByName(before.drop("batch"))
-    merge(rows).withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-        f"{target}/slot={batch_id % 2}"
-    )
+        rows = rows.unionByName(before.drop("run", "batch"))
+    _write_slot(merge(rows), batch_id, target, run)
 
 
 def running_result(spark: SparkSession, target: str) -> DataFrame:
-    """The result after the last finished batch."""
+    """The result after the last finished batch of the run that started last.
+
+    A new checkpoint counts its batches from 0; its start time tells them from older ones.
+    """
     slots = spark.read.parquet(target)
-    last = slots.agg(F.max("batch")).scalar()
-    return slots.where(F.col("batch") == last).drop("batch", "slot")
+    last = slots.agg(F.max(F.struct("run", "batch"))).scalar()
+    return slots.where(F.struct("run", "batch") == last).drop("run", "batch", "slot")
 
 
 def count_locations(sessions: DataFrame, players: DataFrame) -> DataFrame:
@@ -134,8 +145,10 @@ def refresh_location_counts(
     def total(rows: DataFrame) -> DataFrame:
         return rows.groupBy("city", "country").agg(F.sum("active_sessions").alias("active_sessions"))
 
+    run = time.time_ns()
+
     def add(batch: DataFrame, batch_id: int) -> None:
-        _advance(batch, batch_id, target, count_locations(batch, players), total)
+        _advance(batch, batch_id, target, run, count_locations(batch, players), total)
 
     needed = completed(sessions).select("player_id", "status")
     return _started(needed.writeStream.foreachBatch(add), checkpoint, every)
@@ -155,9 +168,11 @@ def refresh_newest(
     of the batch. The globe over these rows costs n rows instead of a scan of all sessions.
     """
 
+    run = time.time_ns()
+
     def keep(batch: DataFrame, batch_id: int) -> None:
         newest = globe.latest_located(batch, players, n)
-        _advance(batch, batch_id, target, newest, lambda rows: globe.newest_of(rows, n))
+        _advance(batch, batch_id, target, run, newest, lambda rows: globe.newest_of(rows, n))
 
     needed = completed(sessions).select(
         "session_id", "player_id", "start_time", "time_played_minutes", "status"
