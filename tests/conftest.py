@@ -38,9 +38,10 @@ def bound(spark):
 
 @pytest.fixture(scope="session")
 def stored(spark, bound):
-    """The domain tables saved as Parquet, sessions clustered by time."""
+    """The domain tables saved as Parquet, sessions clustered by time, players with their region."""
     from playlens.session import workspace
     from playlens.sources import tables
+    from playlens.sources.schemas import RAW_PLAYERS
 
     folder = workspace(spark, "stored")
     frames = {name: tables.with_zone(df) for name, df in bound.tables.items()}
@@ -48,4 +49,4 @@ def stored(spark, bound):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     tables.save_tables(frames, folder, {"sessions": ["start_time", "session_id"]})
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    return {name: tables.scan(spark, folder, name) for name in frames}
+    return {name: tables.scan(spark, folder, name, RAW_PLAYERS if name == "players" else None) for name in frames}

@@ -8,10 +8,10 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from playlens.operators import aggregates, chat, globe, joins, panels, sampling
-from playlens.sources import dimensions
 from tests import frames
 from tests.frames import at, tuples
 
@@ -128,22 +128,6 @@ def test_sample_fraction_is_exact_and_independent_of_partitions(spark):
             assert sorted(r.player_id for r in got.collect()) == expected
 
 
-def test_weighted_pick_follows_the_weights(spark):
-    n = 20_000
-    people = spark.range(n).select(F.col("id").alias("player_id"), F.lit("EU").alias("region"))
-    cities = dimensions.geo_dimension(spark)
-    got = sampling.weighted_pick(people, "player_id", cities, "region", "city", "weight", "city:1")
-    counts = {r.city: r["count"] for r in got.groupBy("city").count().collect()}
-    assert sum(counts.values()) == n
-    weights = {city[0]: city[-1] for city in dimensions.GEOGRAPHY["EU"][0]}
-    for city, weight in weights.items():
-        assert abs(counts[city] / n - weight) < 0.015
-    again = sampling.weighted_pick(
-        people.repartition(3), "player_id", cities, "region", "city", "weight", "city:1"
-    )
-    assert got.exceptAll(again).count() == 0
-
-
 def test_one_session_per_payer(spark):
     rows = random_sessions(9, 800, 600)
     tx = frames.transactions(spark, [(i, p, 5) for i, p in enumerate([1, 2, 2, 3, 500])])
@@ -171,7 +155,13 @@ def test_payload_of_short_and_very_long_conversations(spark):
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string")
     bodies = defaultdict(dict)
     for r in chat.conversation_payload(turns).collect():
-        bodies[r.conv_id][r.part] = r.payload
-    assert {c: len(p) for c, p in bodies.items()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 2}
+        bodies[r.conv_id][r.turn] = r.piece
+    assert {c: len(p) for c, p in bodies.items()} == talks
     whole = {c: json.loads("".join(p[k] for k in sorted(p))) for c, p in bodies.items()}
     assert whole == expected
+
+
+def test_a_turn_without_a_number_is_an_error(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, None, "user", "b")], "conv_id bigint, turn bigint, role string, content string")
+    with pytest.raises(Exception, match="a turn has no number"):
+        chat.conversation_payload(turns).collect()

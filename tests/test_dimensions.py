@@ -3,21 +3,11 @@ from __future__ import annotations
 import datetime as dt
 
 from playlens.sources import dimensions
-
-
-def test_geography(spark):
-    geo = dimensions.geo_dimension(spark)
-    assert geo.columns == ["region", "city", "state", "country", "lat", "lon", "weight"]
-    counts = {r.region: r["count"] for r in geo.groupBy("region").count().collect()}
-    assert counts == {"LATAM": 8, "NA": 8, "EU": 7, "ASIA": 5}
-    sums = {r[0]: round(r[1], 9) for r in geo.groupBy("region").sum("weight").collect()}
-    assert set(sums.values()) == {1.0}
-    devices = dimensions.device_dimension(spark).groupBy("region").sum("weight").collect()
-    assert {round(r[1], 9) for r in devices} == {1.0}
+from playlens.sources.bindings import PHASE_WEIGHTS
 
 
 def test_growth_weights_sum_to_one_per_phase(spark):
-    sums = dimensions.growth_weight_dimension(spark).groupBy("phase").sum("expected_weight").collect()
+    sums = dimensions.growth_weight_dimension(spark, PHASE_WEIGHTS).groupBy("phase").sum("expected_weight").collect()
     assert {(r[0], round(r[1], 9)) for r in sums} == {(1, 1.0), (2, 1.0), (3, 1.0)}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from playlens.functions import numbers, texts, times
@@ -251,13 +252,50 @@ def test_growth_phase_borders(spark):
         [{"player_id": d, "create_date": start + dt.timedelta(days=d)} for d in (0, 59, 60, 119, 120)]
         + [{"player_id": 500, "region": None}],
     )
-    weights = dimensions.growth_weight_dimension(spark)
+    weights = dimensions.growth_weight_dimension(spark, {"LATAM": (0.05, 0.20, 0.32)})
     got = {r.player_id: (r.phase, r.expected_weight) for r in derive.growth_phases(pl, start, weights).collect()}
     assert got == {
         0: (1, 0.05), 59: (1, 0.05), 60: (2, 0.20), 119: (2, 0.20), 120: (3, 0.32), 500: (1, None)
     }
 
 
+def test_growth_phase_of_no_date(spark):
+    from playlens.functions import times
+
+    row = spark.createDataFrame([(None,)], "d date").select(times.growth_phase(F.col("d"), AS_OF).alias("p")).first()
+    assert row.p is None
+
+
+def test_active_7d_ends_at_the_reference_time(spark):
+    isl = spark.createDataFrame([(1,)], "island_id bigint")
+    se = spark.createDataFrame(
+        [(1, 1, dt.datetime(2024, 6, 7)), (1, 2, dt.datetime(2025, 1, 1))], "island_id bigint, player_id bigint, start_time timestamp_ntz"
+    )
+    assert tuples(panels.active_7d(isl, se, dt.datetime(2024, 6, 8)).select("island_id", "active_players")) == [(1, 1)]
+
+
+def test_latest_located_keeps_sessions_without_a_start_time(spark):
+    se = spark.createDataFrame(
+        [(1, 1, None, 5, "completed"), (2, 1, dt.datetime(2024, 1, 1), 5, "completed")],
+        "session_id bigint, player_id bigint, start_time timestamp_ntz, time_played_minutes bigint, status string",
+    )
+    pl = frames.players(spark, [{"player_id": 1}])
+    assert [r.session_id for r in globe.latest_located(se, pl, n=2).collect()] == [2, 1]
+    with pytest.raises(ValueError):
+        globe.latest_located(se, pl, n=10**6)
+
+
+def test_a_session_must_run_in_utc(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1),)], "t timestamp_ntz")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError):
+            tables.with_zone(df)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tables.save_tables({}, "unused") == {}
+
+
 def test_churn_and_recent_activity_complement_each_other(spark):
     day = dt.timedelta(days=1)
     pl = frames.players(
@@ -273,8 +311,9 @@ def test_churn_and_recent_activity_complement_each_other(spark):
 
 def test_unknown_country_keeps_the_player(spark):
     pl = frames.players(spark, [{"player_id": 1}, {"player_id": 2, "country": "Atlantis"}])
-    dim = dimensions.geo_dimension(spark).select("country", "region").distinct()
-    assert tuples(joins.player_region(pl, dim).select("player_id", "region")) == [(1, "LATAM"), (2, None)]
+    countries = spark.createDataFrame([(pl.where("player_id = 1").first().country, 7)], "country string, region_id int")
+    regions = spark.createDataFrame([(7, "LATAM")], "region_id int, region string")
+    assert tuples(joins.player_region(pl, countries, regions).select("player_id", "region")) == [(1, "LATAM"), (2, None)]
 
 
 def test_nonblank_drops_null_empty_and_any_white_space(spark):

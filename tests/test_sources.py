@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from playlens.operators import aggregates, filters, globe, panels
+from playlens.operators import aggregates, globe, panels
 from playlens.session import workspace
 from playlens.sources import bindings, tables
 from tests.frames import tuples
@@ -24,6 +24,25 @@ def test_workspace_lies_in_the_shared_folder(spark):
     assert one.startswith(root) and one != two
 
 
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def __init__(self, **values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key.replace(".", "_"), default)
+
+    class Session:
+        def __init__(self, master, **values):
+            self.conf = Conf(spark_master=master, **values)
+
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            workspace(Session(master), "x")
+        assert workspace(Session(master, spark_checkpoint_dir="hdfs:///shared"), "x").startswith("hdfs:///shared/x-")
+    assert workspace(Session("local[4]"), "x")
+
+
 def test_stored_tables_have_the_declared_schema_and_all_rows(bound, stored):
     counts = {r.table_name: r.cnt for r in tables.table_row_counts(bound.tables).collect()}
     assert counts == {r.table_name: r.cnt for r in tables.table_row_counts(stored).collect()}
@@ -51,55 +70,33 @@ def test_catalog_tables_are_saved_listed_counted_and_overwritten(spark, bound, s
     assert tables.scan_catalog(spark, schema, "cohorts").count() == 8
 
 
-def test_sql_texts_over_views_agree_with_the_operators(spark, bound):
+def test_views_answer_sql(spark, bound):
     tables.register_views(bound.tables)
-    countries = ", ".join(f"'{c}'" for c in bindings.COUNTRIES)
-    pairs = {
-        f"""select trunc(create_date, 'MM') month, country, count(1) new_players
-            from players where array_contains(array({countries}), country) group by all""":
-            aggregates.monthly_new(bound.players, bindings.COUNTRIES),
-        f"""select player_id, city, country, last_login_date, days_inactive
-            from (select *, datediff(date'{bindings.END}', last_login_date) days_inactive from players)
-            where days_inactive > 13""":
-            filters.churned(bound.players, bindings.END),
-        """select device_type, count(1) sessions, sum(time_played_minutes) / count(1) avg_minutes
-           from sessions group by device_type""":
-            aggregates.by_device(bound.sessions),
-        """select country, count(distinct player_id) paying_players, sum(amount) / 100 total_revenue
-           from players join transactions using (player_id) where not amount <= 0 group by country""":
-            aggregates.revenue_by_country(bound.transactions, bound.players),
-        """select latitude, longitude, city, country, count(1) active_sessions, count(1) player_count,
-             cast(45 as decimal(3, 1)) avg_session_duration
-           from (select * from players join
-                   (select player_id, session_id, start_time from sessions where status = 'completed')
-                   using (player_id)
-                 order by start_time desc, session_id desc limit 500)
-           group by all""":
-            globe.globe(bound.sessions, bound.players),
-    }
-    for sql, df in pairs.items():
-        assert tuples(spark.sql(sql)) == tuples(df)
-
-
-def test_sql_text_of_top_islands(spark, bound):
-    from playlens.operators import joins
-
-    joins.total_plays(bound.islands, bound.sessions).createOrReplaceTempView("islands_final")
-    sql = """from islands_final |> order by total_plays desc, island_id |> limit 10
-             |> select island_name, category, total_plays, avg_rating"""
-    assert tuples(spark.sql(sql)) == tuples(panels.top_islands(bound.islands, bound.sessions))
+    plays = spark.sql("""
+        SELECT island_id, COUNT(*) AS plays, SUM(time_played_minutes) AS minutes
+        FROM sessions GROUP BY island_id""")
+    assert sum(r.plays for r in plays.collect()) == bound.sessions.count()
+    churn = spark.sql(f"""
+        SELECT country, COUNT(*) AS players,
+          COUNT_IF(DATEDIFF(DATE '{bindings.END}', last_login_date) >= 14) AS churned,
+          COUNT_IF(DATEDIFF(DATE '{bindings.END}', last_login_date) >= 14) / COUNT(*) AS churn_rate
+        FROM players GROUP BY country""")
+    assert tuples(churn) == tuples(panels.churn_rate(bound.players, bindings.END).select(churn.columns))
+    revenue = spark.sql("""
+        SELECT TRUNC(timestamp, 'MM') AS month, SUM(amount) / 100 AS revenue
+        FROM transactions WHERE amount > 0 GROUP BY 1""")
+    assert tuples(revenue) == tuples(aggregates.monthly_revenue(bound.transactions))
 
 
 def test_warehouse_tables_carry_the_derived_fields(spark, bound):
     from playlens.operators import cohorts, joins
     from playlens.plans import warehouse
-    from playlens.sources import schemas
 
     folder = workspace(spark, "warehouse")
     raw = {name: df for name, df in bound.tables.items() if name != "player_cohorts"}
     paths = warehouse.save_warehouse(spark, raw, folder, bindings.END, bindings.COHORT_REGION)
     assert set(paths) == set(bound.tables)
-    players = tables.scan(spark, folder, "players", schemas.FINAL_PLAYERS)
+    players = tables.scan(spark, folder, "players")
     expected = cohorts.finalize_players(bound.players, bound.transactions)
     assert spark.read.parquet(paths["players"]).columns == players.columns
     assert tuples(players) == tuples(expected.select(players.columns))
@@ -110,3 +107,7 @@ def test_warehouse_tables_carry_the_derived_fields(spark, bound):
     assert tuples(globe.globe(tables.scan(spark, folder, "sessions"), players)) == tuples(
         globe.globe(bound.sessions, bound.players)
     )
+    with_region = joins.player_region(players, bound.countries, bound.regions)
+    assert tuples(panels.peak_hours(tables.scan(spark, folder, "sessions"), with_region)) == tuples(
+        panels.peak_hours(bound.sessions, bound.players)
+    )

@@ -31,7 +31,7 @@ def test_complete_windows_equal_the_batch_twin(spark, bound, files):
     query = activity.refresh_windows(activity.active_sessions(sessions), target, workspace(spark, "state"))
     query.awaitTermination()
     assert query.lastProgress["batchId"] >= 4
-    assert tuples(spark.read.parquet(target)) == tuples(activity.active_sessions(bound.sessions))
+    assert tuples(activity.running_result(spark, target)) == tuples(activity.active_sessions(bound.sessions))
 
 
 def test_appended_windows_are_closed_ones(spark, bound):
@@ -89,5 +89,8 @@ def test_a_batch_run_twice_changes_nothing(spark, bound):
         return rows.agg(F.sum("k").alias("k"), F.sum("v").alias("v"))
 
     for batch_id in (0, 0, 1, 1, 2, 2, 2):
-        activity._advance(frames[batch_id], batch_id, target, frames[batch_id], total)
+        activity._advance(frames[batch_id], batch_id, target, 1, frames[batch_id], total)
     assert tuples(activity.running_result(spark, target)) == [(3, 30)]
+    # A new checkpoint starts again from batch 0, while the other slot holds an older run.
+    activity._advance(frames[1], 0, target, 2, frames[1], total)
+    assert tuples(activity.running_result(spark, target)) == [(1, 10)]
