@@ -1,7 +1,142 @@
-"""DuckDB SQL for the queries that SQL can express over whole tables in reasonable time."""
+"""DuckDB SQL for the queries that SQL can express over whole tables in reasonable time.
+
+The others (near duplicates, runs of lines, HTML, fingerprints, tokens, packing, the language
+model) are tested against brute force in plain Python.
+"""
 
 from __future__ import annotations
 
+from playlens.llm.mixing import CAP, CLASSES, DRAW_DIGITS, RANK_BITS, SHARE, WEIGHTS
+from playlens.llm.quality import RULES
+from playlens.llm.urls import RULES as URL_RULES
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+QUALITY = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (
+  SELECT row, unnest(list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])) AS gram, unnest(range(1, len(words) - 3)) AS i
+  FROM base WHERE len(words) > 4),
+windows AS (SELECT row, unnest(list(i)) AS i FROM grams GROUP BY row, gram HAVING count(*) > 1),
+covered AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS place FROM windows) GROUP BY row),
+measured AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words,
+    CAST(len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS BIGINT) AS n_stutters
+  FROM base LEFT JOIN covered USING (row)),
+judged AS (
+  SELECT *, CAST({" + ".join(f"CASE WHEN {r.fails} THEN {r.mask} ELSE 0 END" for r in RULES)} AS BIGINT) AS failed FROM measured)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, failed = 0 AS kept FROM judged"""
+
+_LIMIT = f"{CAP} * source_size"
+_RATIO = [f"least({w} * level{len(CLASSES) - 1}, {CAP})" for _, w in CLASSES]
+
+
+def _mixing() -> str:
+    weight = "[" + ", ".join(map(str, WEIGHTS)) + "]"
+    classes = "0"
+    for i, (least, _) in enumerate(CLASSES[1:], 1):
+        classes = f"CASE WHEN size >= {least} THEN {i} ELSE {classes} END"
+    sums = ", ".join(f"CAST(sum(CASE WHEN class = {i} THEN size ELSE 0 END) AS BIGINT) AS s{i}" for i in range(len(CLASSES)))
+    # A class is stopped when its share at the first level passes the cap; the second level is final.
+    open0 = " + ".join(f"{w} * s{i}" for i, (_, w) in enumerate(CLASSES))
+    full = " + ".join(f"CASE WHEN {w} * level0 > {CAP} THEN {CAP} * s{i} ELSE 0.0 END" for i, (_, w) in enumerate(CLASSES))
+    rest = " + ".join(f"CASE WHEN {w} * level0 > {CAP} THEN 0.0 ELSE {w} * s{i} END" for i, (_, w) in enumerate(CLASSES))
+    ratios = ", ".join(
+        f"CASE WHEN {w} * level0 > {CAP} OR {w} * level1 > {CAP} THEN {CAP} ELSE least({w} * level1, {CAP}) END AS r{i}"
+        for i, (_, w) in enumerate(CLASSES)
+    )
+    need = " + ".join(f"(r{i} - floor(r{i})) * s{i}" for i in range(len(CLASSES)))
+    return f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+    (CAST('0x' || substr(md5(concat_ws(':', doc_id, coalesce(md5(text), 'null'), '1')), 1, {DRAW_DIGITS}) AS BIGINT) + 0.5::DOUBLE)
+      / {2.0 ** (4 * DRAW_DIGITS)!r}::DOUBLE AS draw
+  FROM documents),
+rows AS (SELECT *, {classes} AS class FROM sized),
+sources AS (
+  SELECT *, ({weight}::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {sums} FROM rows GROUP BY source)),
+levels(turn, level) AS (
+  SELECT 0, {SHARE}::DOUBLE * sum(source_size) / sum(weight) FROM sources
+  UNION ALL SELECT turn + 1, (
+    SELECT ({SHARE}::DOUBLE * sum(source_size) - coalesce(sum({_LIMIT}) FILTER (weight * level > {_LIMIT}), 0))
+      / sum(weight) FILTER (NOT weight * level > {_LIMIT}) FROM sources)
+  FROM levels WHERE turn < 20 AND level IS NOT NULL),
+level AS (SELECT arg_max(level, turn) AS level FROM levels WHERE level IS NOT NULL),
+goals AS (
+  SELECT *, CASE WHEN weight * level > {_LIMIT} THEN CAST({_LIMIT} AS DOUBLE) ELSE least(weight * level, CAST({_LIMIT} AS DOUBLE)) END AS target
+  FROM sources, level),
+first_level AS (SELECT *, CASE WHEN {open0} > 0 THEN target / ({open0}) ELSE 0.0 END::DOUBLE AS level0 FROM goals),
+second_level AS (SELECT *, CASE WHEN {rest} > 0 THEN (target - ({full})) / ({rest}) ELSE 0.0 END::DOUBLE AS level1 FROM first_level),
+rated AS (SELECT source, source_size, target, s0, s1, {ratios} FROM second_level),
+needed AS (SELECT *, {need} AS need FROM rated),
+joined AS (
+  SELECT r.doc_id, r.source, r.size, r.draw, n.source_size, n.target, n.need,
+    floor([r0, r1][class + 1]) AS certain, [r0, r1][class + 1] - floor([r0, r1][class + 1]) AS chance
+  FROM rows r JOIN needed n ON r.source IS NOT DISTINCT FROM n.source),
+odds AS (SELECT *, CASE WHEN chance > 0 THEN draw / (1 - draw) * (1 - chance) / chance END AS odds FROM joined),
+ranked AS (SELECT *, CAST(least(floor(odds / (1 + odds) * {2.0 ** RANK_BITS!r}::DOUBLE), {2 ** RANK_BITS - 1}) AS BIGINT) AS rank FROM odds),
+running AS (
+  SELECT source, need, rank, sum(n) OVER (PARTITION BY source ORDER BY rank) AS after, sum(n) OVER (PARTITION BY source ORDER BY rank) - n AS before,
+    lead(rank) OVER (PARTITION BY source ORDER BY rank) IS NULL AS last
+  FROM (SELECT source, need, rank, sum(size) AS n FROM ranked WHERE chance > 0 AND size > 0 GROUP BY ALL)),
+cuts AS (
+  SELECT source, CASE WHEN after - need > need - before THEN rank - 1 ELSE rank END AS cut
+  FROM running WHERE before < need AND (after >= need OR last))
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (certain + CASE WHEN chance > 0 AND rank <= cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM ranked r LEFT JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source"""
+
+
+def _urls() -> str:
+    def fits(rule) -> str:
+        return f"((host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}'))"
+
+    order = sorted(URL_RULES, key=lambda r: (-len(r.text), r.verdict != "allow"))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in order)
+    verdict = " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in order)
+
+    def parts(url: str) -> str:
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        return (
+            rf"translate(regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host, "
+            rf"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, "
+            rf"regexp_extract(coalesce({url}, ''), '(?s)^[^#]*?(\?[^#]*)', 1) AS query"
+        )
+
+    return rf"""
+WITH RECURSIVE tags AS (
+  SELECT url, list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1] AS link,
+    list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1] AS meta
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+links AS (
+  SELECT url, regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags WHERE link IS NOT NULL
+  UNION ALL SELECT url, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags WHERE meta IS NOT NULL),
+addresses AS (SELECT url AS address FROM links UNION SELECT target FROM links UNION SELECT url FROM pages),
+known AS (
+  SELECT address, host, path, host || regexp_replace(path, '/+$', '') || query AS node, CASE {rule} END AS rule
+  FROM (SELECT address, {parts("address")} FROM addresses)),
+judged AS (SELECT *, CASE rule {verdict} END AS own FROM known),
+edges AS (
+  SELECT a.node AS a, b.node AS b FROM links JOIN known a ON a.address = url JOIN known b ON b.address = target
+  WHERE a.node <> b.node AND a.node <> '' AND b.node <> ''),
+ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(node, other) AS (SELECT a, a FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
+blocked AS (
+  SELECT r.node FROM reach r JOIN judged j ON j.node = r.other
+  WHERE j.address IN (SELECT url FROM links UNION SELECT target FROM links)
+  GROUP BY r.node HAVING bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), false))
+SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN j.node IN (FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p JOIN judged j ON j.address IS NOT DISTINCT FROM p.url"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": QUALITY, "op6_pareto_mixing": _mixing(), "op10_url_filters": _urls()}
