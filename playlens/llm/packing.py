@@ -45,7 +45,7 @@ class Ids:
         self.plain = re.compile(rf" (?!.*(?:{'|'.join(special) or '(?!)'}))\S+", re.DOTALL)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
-        self.known = Recent(self._encode_pieces, 1_000_000)
+        self.known = Recent(self._encode_pieces, 400_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
