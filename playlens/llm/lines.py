@@ -1,11 +1,11 @@
-"""Removing repeated runs of lines, found by winnowing over line hashes.
-
-A document is the sequence of its lines' hashes. In every window of lines that
-together hold GUARANTEE words the least line is selected, long lines before short ones, so a run of
-lines that is repeated with that many words has a fingerprint in common with its source, and
-a frequent short line is rarely one. Fingerprints are joined with their first
-occurrence, the match is extended both ways line by line, and runs of GUARANTEE words or
-more are deleted wherever they come later. Of equal lines the very first always stays.
+"""Removing repeated runs of lines, found by the hashes of their shortest windows.
+
+A document is the sequence of its lines' hashes. A window is the shortest run of lines with
+GUARANTEE words that ends at a line, or that starts at one. Where the windows of a passage lie
+depends on the passage alone, and each line of a run with GUARANTEE words is in a window within the run.
+So a line is in a run that came earlier just if one of its windows did: every window is joined with the
+first occurrence of its own content, and deleted wherever it comes later. Of equal lines
+the very first always stays.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from playlens.llm.common import SPACES, fresh, save, text_hash
 
 GUARANTEE = 20
+#: Of the polynomial over the hashes of a window's lines.
+PRIME, BASE = 2**127 - 1, 0x5D2C9A7E31F4B6880E6F13D7A94C25B3
 
 
 def split(text: str) -> list[str]:
@@ -54,81 +56,70 @@ def winnow(hashes: list[int], words: list[int], guarantee: int = GUARANTEE) -> l
     return list(chosen)
 
 
-def profile(text: Column) -> Column:
-    """struct(hashes, words, marks): line hashes, words per line, positions of fingerprints."""
-    @F.arrow_udf("hashes array<long>, words array<int>, marks array<int>")
+def windows(words: list[int], guarantee: int = GUARANTEE) -> list[tuple[int, int]]:
+    """[start, stop) of the shortest windows with `guarantee` words that end at a line or start at one."""
+    found: dict[tuple[int, int], None] = {}
+    start, total = 0, 0
+    for end, n in enumerate(words):
+        total += n
+        while total - words[start] >= guarantee:
+            total -= words[start]
+            start += 1
+        if total >= guarantee:
+            found[start, end + 1] = None
+    stop, total = len(words), 0
+    for start in range(len(words) - 1, -1, -1):
+        total += words[start]
+        while total - words[stop - 1] >= guarantee:
+            stop -= 1
+            total -= words[stop]
+        if total >= guarantee:
+            found[start, stop] = None
+    return list(found)
+
+
+def window_keys(hashes: list[int], places: list[tuple[int, int]]) -> list[int]:
+    """64 bits that stand for the lines of each window; the time does not depend on their number."""
+    before, power = [0], [1]
+    for h in hashes:
+        before.append((before[-1] * BASE + h) % PRIME)
+        power.append(power[-1] * BASE % PRIME)
+    values = ((before[stop] - before[start] * power[stop - start]) % PRIME for start, stop in places)
+    return [xxhash.xxh3_64_intdigest(v.to_bytes(16, "little"), stop - start) - 2**63 for v, (start, stop) in zip(values, places)]
+
+
+def profile(text: Column, guarantee: int = GUARANTEE) -> Column:
+    """array<struct(key, start, stop)>: the windows of a text."""
+    @F.arrow_udf("array<struct<key:long,start:int,stop:int>>")
     def profiles(texts: pa.Array) -> pa.Array:
-        hashes, words, marks = [], [], []
+        keys, starts, stops, edges = [], [], [], [0]
         for value in texts:
             lines = split(value.as_py() or "")
-            hashes.append([line_hash(line) for line in lines])
-            words.append([len(line.encode("utf-8", "surrogatepass").split()) for line in lines])
-            marks.append(winnow(hashes[-1], words[-1]))
-        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        arrays = [pa.array(values, kind) for values, kind in zip((hashes, words, marks), kinds)]
-        return pa.StructArray.from_arrays(arrays, names=["hashes", "words", "marks"])
+            places = windows([len(line.encode("utf-8", "surrogatepass").split()) for line in lines], guarantee)
+            if places:
+                keys += window_keys([line_hash(line) for line in lines], places)
+                starts += [start for start, _ in places]
+                stops += [stop for _, stop in places]
+            edges.append(len(keys))
+        arrays = [pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(arrays, names=["key", "start", "stop"]))
 
     return profiles(text)
 
 
-def extend(left, right, words, at: int, source: int) -> tuple[int, int, int]:
-    """(from, to, words): the longest run of equal lines around at/source, in positions of `left`."""
-    start, there = at, source
-    while start and there and left[start - 1] == right[there - 1]:
-        start, there = start - 1, there - 1
-    end, there = at + 1, source + 1
-    while end < len(left) and there < len(right) and left[end] == right[there]:
-        end, there = end + 1, there + 1
-    return start, end, int(sum(words[start:end]))
-
-
-def _runs(left: Column, right: Column, words: Column, pairs: Column, guarantee: int) -> Column:
-    """The runs around all matched positions of two documents, as array<struct<start, stop>>."""
-    @F.arrow_udf("array<struct<start:int,stop:int>>")
-    def runs(left: pa.Array, right: pa.Array, words: pa.Array, pairs: pa.Array) -> pa.Array:
-        result = []
-        for ours, theirs, sizes, found in zip(left, right, words, pairs):
-            ours, theirs, sizes = (x.values.to_numpy() for x in (ours, theirs, sizes))
-            done: dict[int, int] = {}  # diagonal -> end of its last run
-            rows = []
-            for pair in sorted(((p["at"], p["source"]) for p in found.as_py())):
-                at, source = pair
-                if at < done.get(at - source, 0):
-                    continue
-                start, stop, total = extend(ours, theirs, sizes, at, source)
-                done[at - source] = stop
-                if total >= guarantee:
-                    rows.append({"start": start, "stop": stop})
-            result.append(rows)
-        return pa.array(result, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
-
-    return runs(left, right, words, pairs)
-
-
 def repeated_runs(docs: DataFrame, guarantee: int = GUARANTEE) -> DataFrame:
-    """(doc_id, text_key, runs, n_lines): the runs of lines [start, stop) to delete, per document.
+    """(doc_id, text_key, runs): the runs of lines [start, stop) to delete, per document; they may overlap.
 
     Documents follow each other by doc_id, null last, then by the hash of the text. Rows that
     agree in both are one document. Documents without a repeated run are absent.
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    rows = docs.select("doc_id", text_hash().alias("text_key"), profile(F.col("text")).alias("p"))
-    rows = save(rows.select("doc_id", "text_key", order.alias("doc"), "p.*"), "lines")
-    docs_once = rows.dropDuplicates(["doc"])
-    marks = save(docs_once.select("doc", F.explode("marks").alias("at"), "hashes").select(
-        "doc", "at", F.get("hashes", "at").alias("mark")
-    ), "marks")
-    first = marks.groupBy("mark").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    matched = marks.join(first.select("mark", "first"), "mark").where(F.col("first") < F.struct("doc", "at"))
-    pairs = matched.groupBy("doc", F.col("first.doc").alias("source")).agg(
-        F.collect_set(F.struct("at", F.col("first.at").alias("source"))).alias("pairs")
-    )
-    lines = docs_once.select("doc", "hashes", "words")
-    sources = docs_once.select(F.col("doc").alias("source"), F.col("hashes").alias("theirs"))
-    runs = pairs.join(lines, "doc").join(sources, "source").select(
-        "doc", _runs(F.col("hashes"), F.col("theirs"), F.col("words"), F.col("pairs"), guarantee).alias("runs")
-    )
-    return runs.where(F.size("runs") > 0).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs")).select(
+    rows = docs.select("doc_id", text_hash().alias("text_key"), profile(F.col("text"), guarantee).alias("w"))
+    rows = save(rows.select(order.alias("doc"), "w"), "windows").select("doc", F.explode("w").alias("w")).select("doc", "w.*")
+    # Rows of one document have the same places, so none of them comes before another.
+    first = rows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    matched = rows.join(first.select("key", "first"), "key").where(F.col("first") < F.struct("doc", "start"))
+    return matched.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("runs")).select(
         F.col("doc.doc_id").alias("doc_id"), F.col("doc.text_key").alias("text_key"), "runs"
     )
 
@@ -141,9 +132,12 @@ def _without(text: Column, runs: Column) -> Column:
         for value, found in zip(texts, runs):
             text = value.as_py()
             lines = split(text or "")
-            gone = np.zeros(len(lines) + 1, bool)
-            for run in found.as_py() or ():
-                gone[run["start"]:run["stop"]] = True
+            gone = np.zeros(len(lines), bool)
+            if found.is_valid:
+                change = np.zeros(len(lines) + 1, np.int64)
+                np.add.at(change, found.values.field("start").to_numpy(), 1)
+                np.add.at(change, found.values.field("stop").to_numpy(), -1)
+                gone = np.cumsum(change)[:-1] > 0
             n = int(gone.sum())
             result.append("\n".join(line for line, out in zip(lines, gone) if not out) if n else text)
             lines_before.append(len(lines) if text else 0)

@@ -154,6 +154,39 @@ def test_runs_against_brute_force(spark):
     assert kept >= {line for text in texts.values() for line in text.split("\n")}, "no line vanishes altogether"
 
 
+def repeated_lines(texts: dict) -> dict[int, set]:
+    """The lines of each text that are in a run of enough words which starts at an earlier position, whatever comes between."""
+    rows = {i: [x.strip() for x in t.split("\n")] for i, t in texts.items()}
+    starts, gone = [(i, at) for i in sorted(rows) for at in range(len(rows[i]))], {i: set() for i in rows}
+    for n, (i, at) in enumerate(starts):
+        for source, there in starts[:n]:
+            size = 0
+            while at + size < len(rows[i]) and there + size < len(rows[source]) and rows[i][at + size] == rows[source][there + size]:
+                size += 1
+            if sum(len(x.split()) for x in rows[i][at:at + size]) >= lines.GUARANTEE:
+                gone[i] |= set(range(at, at + size))
+    return gone
+
+
+def test_runs_whose_lines_came_earlier_alone(spark):
+    """A repeated run has its source even if each of its lines was seen before, elsewhere and alone."""
+    run = [frames.prose(700 + i, 15).replace("\n", " ") for i in range(4)]
+    texts = {i: f"own {i} words\n{line}\nother {i} words" for i, line in enumerate(run)} | {10: "\n".join(run), 11: "\n".join(["before", *run, "behind"])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in lines.digest(docs).collect()}
+    assert got == texts | {11: "before\nbehind"}
+
+
+def test_runs_against_all_earlier_positions(spark):
+    rng = random.Random(4)
+    pool = [frames.prose(800 + i, rng.choice([2, 5, 8, 12, 25])).replace("\n", " ") for i in range(9)] + ["", " "]
+    texts = {i: "\n".join(rng.choices(pool, k=rng.randint(0, 12))) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in lines.digest(docs).collect()}
+    for i, gone in repeated_lines(texts).items():
+        assert got[i] == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
+
+
 # HTML
 
 def test_main_text():
