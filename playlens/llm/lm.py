@@ -24,8 +24,8 @@ STATES = 8
 #: Words that every executor knows (at most), and those of them with a class of their own.
 KNOWN, OWN = 100_000, 16_000
 HASHED = 1024
-#: Passes over one SHARE-th of the training texts that move the model near, then over all of them.
-NEAR_TURNS, SHARE, FULL_TURNS = 8, 8, 2
+#: Training ends when a pass gains less than this share of the log likelihood.
+GAIN = 5e-4
 #: Training sees texts in segments of so many tokens; scoring doesn't.
 SEGMENT = 128
 #: Pseudo-counts that tie a state's emissions to the frequencies of the classes.
@@ -254,26 +254,31 @@ def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
     return alpha[0][first].sum(0), moves * model.move, emit, float(np.log(scale).sum())
 
 
-def trained(texts: DataFrame, model: Model, frequency: np.ndarray) -> Model:
-    """One Baum-Welch pass over `texts` (seq): expected counts are summed per partition, then by class."""
+def trained(texts: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Model, float]:
+    """One Baum-Welch pass over `texts` (seq): expected counts are summed per partition, then by class.
+
+    Returns the new model, and the logarithm of what training raises, of the model before: likelihood times prior.
+    """
     classes, states = len(frequency), len(model.start)
 
     def count(batches):
-        start, moves, emit = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states))
+        start, moves, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((classes, states)), np.zeros(states)
         for seqs in _bunches(batches):
             got = expected(model, seqs)
             start, moves, emit = start + got[0], moves + got[1], emit + got[2]
+            log[0] += got[3]
         hit = np.flatnonzero(emit.sum(1))
-        table = np.concatenate([emit[hit], moves, start[None]])
-        ids = np.concatenate([hit, classes + np.arange(states + 1)])
+        table = np.concatenate([emit[hit], moves, start[None], log[None]])
+        ids = np.concatenate([hit, classes + np.arange(states + 2)])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in table.T.copy())], names=names)
 
     names = ["id", *(f"s{i}" for i in range(states))]
     sums = texts.select("seq").mapInArrow(count, "id long, " + ", ".join(f"{n} double" for n in names[1:]))
     rows = sums.groupBy("id").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()
-    table = np.zeros((classes + states + 1, states))
+    table = np.zeros((classes + states + 2, states))
     table[rows.column(0).to_numpy()] = np.stack([rows.column(n).to_numpy() for n in names[1:]], 1)
-    return model.improved(table[-1], table[classes:-1], table[:classes], frequency)
+    prior = PRIOR * (frequency[:, None] * np.log(model.emit)).sum() + (np.log(model.start).sum() + np.log(model.move).sum()) / states
+    return model.improved(table[-2], table[classes:-2], table[:classes], frequency), float(table[-1, 0] + prior)
 
 
 def _bunches(batches, tokens_at_once: int = 150_000):
@@ -320,15 +325,17 @@ def log_likelihoods(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
 
 
 def fitted(table: DataFrame, v: Vocabulary) -> Model:
-    """Baum-Welch from a fixed start: first on a share of the training texts, then on all."""
+    """Baum-Welch from a fixed start over all training texts, until a pass gains next to nothing."""
     frequency = v.class_counts + 0.5
     frequency = frequency / frequency.sum()
     model = Model.first(frequency)
     train = table.where(~F.col("held_out"))
-    near = train.where(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0)
-    for turn in range(NEAR_TURNS + FULL_TURNS):
-        model = trained(near if turn < NEAR_TURNS else train, model, frequency)
-    return model
+    before = -math.inf
+    while True:
+        model, log = trained(train, model, frequency)
+        if not log - before > GAIN * abs(log):
+            return model
+        before = log
 
 
 def scored(docs: DataFrame) -> DataFrame:

@@ -148,6 +148,27 @@ def test_scores(spark):
     assert gain > 0.25, "the states tell the tongues apart"
 
 
+def test_every_pass_sees_all_training_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    tongues = [[f"{a}{i}" for i in range(100)] for a in "xyz"]
+    rows = [(i, " ".join(rng.choices(tongues[i % 3], k=rng.randint(20, 60)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    passes, one_pass = [], lm.trained
+
+    def watched(texts, *rest):
+        result = one_pass(texts, *rest)
+        passes.append((texts.count(), result[1]))
+        return result
+
+    monkeypatch.setattr(lm, "trained", watched)
+    got = {r["doc_id"]: r["score"] for r in lm.digest(docs.repartition(2)).collect()}
+    assert {n for n, _ in passes} == {sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)}
+    gains = [(b - a) / abs(b) for (_, a), (_, b) in itertools.pairwise(passes)]
+    assert len(gains) > 1 and min(gains[:-1]) > lm.GAIN >= gains[-1], "ended by the likelihood"
+    again = {r["doc_id"]: r["score"] for r in lm.digest(docs.repartition(5)).collect()}
+    assert all(math.isclose(got[i], again[i], rel_tol=1e-6) for i in got), "another partitioning gives the same scores"
+
+
 def test_probabilities_within_a_class_add_up(spark):
     """Within each hashed class the words that training saw and an unknown one share the whole."""
     rows = [(i, " ".join(f"w{(i * j) % 23}" for j in range(12))) for i in range(40)]
