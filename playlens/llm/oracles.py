@@ -6,6 +6,7 @@ model) are tested against brute force in plain Python.
 
 from __future__ import annotations
 
+from playlens.llm import codes, negatives
 from playlens.llm.mixing import CAP, CLASSES, DRAW_DIGITS, RANK_BITS, SHARE, WEIGHTS
 from playlens.llm.quality import RULES
 from playlens.llm.urls import RULES as URL_RULES
@@ -138,5 +139,62 @@ SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN j.node IN (F
 FROM pages p JOIN judged j ON j.address IS NOT DISTINCT FROM p.url"""
 
 
+#: Rows whose vector is whole; all vectors of the given tables have one length.
+_WHOLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def _codes() -> str:
+    """Lloyd's rounds over all distances, written out."""
+    def assigned(r: int) -> str:
+        return f"""assigned{r} AS MATERIALIZED (
+  SELECT row, part, min(struct_pack(d := squares - 2 * list_dot_product(v, e) + list_dot_product(e, e), entry := entry)) AS best
+  FROM parts JOIN book{r} USING (part) GROUP BY row, part)"""
+
+    def moved(r: int) -> str:
+        return f"""sums{r} AS (
+  SELECT part, best.entry AS entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM assigned{r} JOIN parts USING (row, part)),
+means{r} AS (SELECT part, entry, list(x ORDER BY i) AS e FROM (
+  SELECT part, entry, i, floor(sum(x) / count(*)) AS x FROM sums{r} GROUP BY ALL) GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.e, b.e) AS e FROM book{r} b LEFT JOIN means{r} m USING (part, entry))"""
+
+    rounds = ",\n".join(f"{assigned(r)},\n{moved(r)}" for r in range(codes.ROUNDS))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS row, vec_id, label, v FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {codes.SCALE})) AS v FROM embeddings WHERE {_WHOLE})),
+cut AS (SELECT row, p AS part, list_slice(v, CAST(p * len(v) // {codes.PARTS} + 1 AS BIGINT), CAST((p + 1) * len(v) // {codes.PARTS} AS BIGINT)) AS v
+  FROM kept, range({codes.PARTS}) r(p)),
+parts AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS squares FROM cut),
+book0 AS MATERIALIZED (SELECT part, row AS entry, v AS e FROM parts WHERE row < {codes.ENTRIES}),
+{rounds},
+{assigned(codes.ROUNDS)},
+coded AS (
+  SELECT row, string_agg(printf('%02x', CAST(best.entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM assigned{codes.ROUNDS} GROUP BY row),
+checksum AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM (
+  SELECT part, entry, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM book{codes.ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (row), checksum"""
+
+
+NEGATIVES = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {negatives.SCALE})) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+scored AS MATERIALIZED (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+  FROM kept a JOIN kept r ON a.row <> r.row WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS n FROM scored WHERE same QUALIFY n <= {negatives.POSITIVES})
+SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id NULLS LAST) AS INTEGER) AS rank
+FROM positives p JOIN scored s ON p.anchor = s.anchor AND NOT s.same
+  AND {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score
+QUALIFY rank <= {negatives.NEGATIVES}"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": QUALITY, "op6_pareto_mixing": _mixing(), "op10_url_filters": _urls()}
+    return {
+        "op1_quality_rules": QUALITY, "op6_pareto_mixing": _mixing(), "op10_url_filters": _urls(),
+        "op12_vector_codes": _codes(), "op13_hard_negatives": NEGATIVES,
+    }

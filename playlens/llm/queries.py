@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playlens.llm import fingerprints, html, jaccard, lines, lm, mixing, packing, quality, tokens, urls
+from playlens.llm import (
+    codes, fingerprints, html, jaccard, lines, lm, mixing, negatives, packing, quality, simhash, tokens, urls,
+)
 from playlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +31,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": on("documents", packing.pack),
         "op9_hmm_scoring": on("documents", lm.digest),
         "op10_url_filters": on("pages", urls.digest),
+        "op11_simhash_near_dedup": on("documents", simhash.digest),
+        "op12_vector_codes": on("embeddings", codes.digest),
+        "op13_hard_negatives": on("embeddings", negatives.digest),
     }
