@@ -361,4 +361,14 @@ SELECT * FROM ({_WINDOWS}) WHERE window_end <= (SELECT max(ts) FROM events WHERE
     "stream_location_counts": _with(_PLAYERS, _SESSIONS) + """
 SELECT city, country, count(*) AS active_sessions
 FROM sessions s JOIN players p ON s.player_id = p.player_id WHERE status = 'completed' GROUP BY city, country""",
+    "players_without_kind": _with(_PLAYERS, _TRANSACTIONS) + """
+SELECT player_id FROM players WHERE player_id NOT IN (SELECT player_id FROM transactions WHERE type = 'purchase_battle_pass')""",
+    "catalog_row_counts": _with(_PLAYERS, _TRANSACTIONS, _MEMBERS) + """
+SELECT unnest(['cohorts', 'islands', 'player_cohorts', 'players', 'sessions', 'transactions']) AS table_name,
+  unnest([8, (SELECT count(*) FROM part), (SELECT count(*) FROM members), (SELECT count(*) FROM players),
+    (SELECT count(*) FROM events), (SELECT count(*) FROM orders)]) AS cnt""",
 }
+# The same questions put to stored tables.
+ORACLES["stored_latest_sessions"] = ORACLES["latest_completed_sessions"]
+ORACLES["stored_globe"] = ORACLES["active_players_globe_measured"]
+ORACLES["catalog_sessions_with_location"] = ORACLES["sessions_with_location"]

@@ -46,14 +46,18 @@ def lifetime_spend(players: DataFrame, transactions: DataFrame) -> DataFrame:
     )
 
 
-def payer_ids(transactions: DataFrame) -> DataFrame:
-    """Players with any transaction, refunds included."""
+def payer_ids(transactions: DataFrame, kind: str | None = None) -> DataFrame:
+    """Players with any transaction, refunds included, or with one of a kind."""
+    if kind is not None:
+        transactions = transactions.where(F.col("type") == kind)
     return transactions.select("player_id").distinct()
 
 
-def paying(players: DataFrame, transactions: DataFrame, anti: bool = False) -> DataFrame:
-    """Players with a transaction, or with none when `anti`."""
-    return players.join(payer_ids(transactions), "player_id", "left_anti" if anti else "left_semi")
+def paying(
+    players: DataFrame, transactions: DataFrame, anti: bool = False, kind: str | None = None
+) -> DataFrame:
+    """Players with a transaction (of a kind), or with none when `anti`."""
+    return players.join(payer_ids(transactions, kind), "player_id", "left_anti" if anti else "left_semi")
 
 
 def named_members(player_cohorts: DataFrame, cohorts: DataFrame) -> DataFrame:

@@ -13,37 +13,38 @@ _BUCKET_BITS = 20
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """Exactly round(fraction * rows) rows without replacement; `key` must be unique.
 
-    The rows with the smallest draws win. A histogram of the draws' leading bits (2^20
-    buckets at most) finds the bucket in which the sample ends; everything below is kept
-    unseen, and only that bucket, a millionth of the table, is ranked.
+    The rows with the smallest draws win, ties by key, so the sample is one filter on the draw. Where to cut is
+    a scalar: a histogram of the draws' leading bits (2^20 buckets at most) finds the bucket in
+    which the sample ends, and only that bucket, a millionth of the table, is ranked. Both
+    look at the key alone; the columns of `df` are read once.
     """
-    drawn = df.withColumn("_draw", draw(F.col(key), seed)).withColumn(
-        "_bucket", F.shiftright("_draw", HASH_BITS - _BUCKET_BITS)
+    drawn = df.select(F.col(key).alias("key"), draw(F.col(key), seed).alias("draw")).withColumn(
+        "bucket", F.shiftright("draw", HASH_BITS - _BUCKET_BITS)
     )
-    histogram = drawn.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_bucket")
+    histogram = drawn.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(F.lit(0)).orderBy("bucket")
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     # The first bucket that reaches the wanted size, and how many of its rows are needed.
     edge = (
         histogram.select(
-            "_bucket",
+            "bucket",
             (F.sum("n").over(order) - F.col("n")).alias("below"),
             "n",
             F.bround(fraction * total).cast("bigint").alias("wanted"),
         )
-        .where(F.col("below") + F.col("n") >= F.col("wanted"))
-        .agg(F.min(F.struct("_bucket", (F.col("wanted") - F.col("below")).alias("rest"))))
+        .where((F.col("below") + F.col("n") >= F.col("wanted")) & (F.col("wanted") > 0))
+        .agg(F.min(F.struct("bucket", (F.col("wanted") - F.col("below")).alias("rest"))))
         .scalar()
     )
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key))
-    below = drawn.where(F.col("_bucket") < edge["_bucket"])
-    at_edge = (
-        drawn.where(F.col("_bucket") == edge["_bucket"])
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= edge["rest"])
-        .drop("_rank")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("draw", "key"))
+    last = (
+        drawn.where(F.col("bucket") == edge["bucket"])
+        .withColumn("rank", rank)
+        .where(F.col("rank") == edge["rest"])
+        .agg(F.max(F.struct("draw", "key")))
+        .scalar()
     )
-    return below.unionByName(at_edge).drop("_draw", "_bucket")
+    return df.where(F.struct(draw(F.col(key), seed).alias("draw"), F.col(key).alias("key")) <= last)
 
 
 def one_per_player(sessions: DataFrame, transactions: DataFrame, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from playlens.operators import (
     aggregates, chat, cohorts, derive, filters, globe, joins, panels, sampling,
@@ -13,7 +13,8 @@ from playlens.operators import (
 from playlens.plans import feed, warehouse
 from playlens.session import workspace
 from playlens.sources import bindings, dimensions, tables
-from playlens.sources.bindings import COHORT_REGION, COUNTRIES, END, SESSIONS_AS_OF, START, Bindings
+from playlens.sources.bindings import COHORT_REGION, COUNTRIES, END, KIND, SESSIONS_AS_OF, START, Bindings
+from playlens.sources.schemas import DOMAIN
 from playlens.streaming import activity
 
 SEED = 42
@@ -23,12 +24,53 @@ SESSION_COLUMNS = [
 ]
 
 
-def _stored(b: Bindings) -> dict[str, DataFrame]:
-    """The six final tables, saved and scanned."""
+def _saved(b: Bindings) -> str:
+    """The six final tables, saved; returns their folder."""
     folder = workspace(b.spark, "tables")
     raw = {name: df for name, df in b.tables.items() if name != "player_cohorts"}
-    paths = warehouse.save_warehouse(b.spark, raw, folder, END, COHORT_REGION)
-    return {name: tables.scan(b.spark, folder, name) for name in paths}
+    warehouse.save_warehouse(b.spark, raw, folder, END, COHORT_REGION)
+    return tables.current(b.spark, folder)
+
+
+def _stored(b: Bindings) -> dict[str, DataFrame]:
+    """The six final tables, saved and scanned."""
+    folder = _saved(b)
+    return {name: tables.scan(b.spark, folder, name) for name in DOMAIN}
+
+
+def _stored_with_bounds(b: Bindings, rows: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Stored sessions and players, and a time since which there are so many completed sessions."""
+    folder = _saved(b)
+    bounds = b.spark.read.parquet(f"{folder}/time_bounds")
+    return tables.scan(b.spark, folder, "sessions"), tables.scan(b.spark, folder, "players"), tables.newest_since(bounds, rows)
+
+
+def _stored_latest(b: Bindings) -> DataFrame:
+    sessions, _, since = _stored_with_bounds(b, 500)
+    return globe.latest(sessions, 500, since=since).select("session_id", "player_id", F.col("start_time").cast("timestamp_ntz"))
+
+
+def _stored_globe(b: Bindings) -> DataFrame:
+    sessions, players, since = _stored_with_bounds(b, 2000)
+    return globe.globe_measured(sessions, players, since=since)
+
+
+def _catalog(b: Bindings) -> str:
+    """The domain tables as managed tables of a new schema in the session's catalog, bucketed by player."""
+    place = workspace(b.spark, "catalog")
+    schema = "play_" + place[-32:]
+    b.spark.sql(f"CREATE SCHEMA {schema} LOCATION '{place}'")
+    by_player = {name: (8, "player_id") for name in ("players", "sessions", "transactions", "player_cohorts")}
+    tables.save_catalog_tables({name: tables.with_zone(df) for name, df in b.tables.items()}, schema, by_player)
+    return schema
+
+
+def _catalog_join(b: Bindings) -> DataFrame:
+    schema = _catalog(b)
+    sessions, players = (tables.scan_catalog(b.spark, schema, name) for name in ("sessions", "players"))
+    return joins.with_location(sessions, players).select(
+        "session_id", "player_id", "city", "country", "latitude", "longitude"
+    )
 
 
 def _as_text(name: str, df: DataFrame) -> DataFrame:
@@ -105,6 +147,10 @@ REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
     "saved_tables": _stored_rows,
     "saved_peak_hours": _stored_region_hours,
     "table_row_counts": lambda b: tables.table_row_counts(_stored(b)),
+    "stored_latest_sessions": _stored_latest,
+    "stored_globe": _stored_globe,
+    "catalog_row_counts": lambda b: tables.catalog_row_counts(b.spark, _catalog(b)),
+    "catalog_sessions_with_location": _catalog_join,
     "globe_with_fallback": lambda b: feed.places_or_sample(
         _after_the_newest(b), b.players, dimensions.sample_locations(b.spark)
     ),
@@ -156,6 +202,7 @@ REPORTS: dict[str, Callable[[Bindings], DataFrame]] = {
     ),
     "paying_players": lambda b: joins.paying(b.players, b.transactions).select("player_id"),
     "nonpaying_players": lambda b: joins.paying(b.players, b.transactions, anti=True).select("player_id"),
+    "players_without_kind": lambda b: joins.paying(b.players, b.transactions, anti=True, kind=KIND).select("player_id"),
     "cohort_members_named": lambda b: joins.named_members(b.player_cohorts, b.cohorts).select(
         "player_id", "cohort_id", "name"
     ),

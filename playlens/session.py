@@ -67,3 +67,9 @@ def workspace(spark: SparkSession, purpose: str) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master!r}")
         root = tempfile.mkdtemp(prefix="playlens-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that this library wrote, in whatever store it lies; False if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

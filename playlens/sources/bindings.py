@@ -20,6 +20,7 @@ END = dt.date(2001, 8, 1)
 SESSIONS_AS_OF = dt.datetime(2024, 1, 31)
 COUNTRIES = ["NATION_1", "NATION_6", "NATION_11", "NATION_16", "NATION_21"]
 COHORT_REGION = "AMERICA"
+KIND = "purchase_battle_pass"
 # Expected shares of new players per region in phases 1, 2 and 3; the test regions' own numbers.
 PHASE_WEIGHTS = {
     "AFRICA": (0.40, 0.35, 0.30),

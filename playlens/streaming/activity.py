@@ -2,13 +2,18 @@
 
 Inside `foreachBatch` the batch is fixed: filters and columns no longer reach the scan. So both
 are narrowed on the stream.
+
+A running result lies in two slots that batches write in turn. What is in a slot says its mark, a
+table of one row beside it: the query whose checkpoint counted the batch, the batch, and how many
+queries have written to the target before. So an empty result has a mark like any other, and no
+clock decides which is the last.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -78,10 +83,9 @@ def refresh_windows(
     Complete mode hands over every window after each batch, a few bytes per five minutes of
     history, and keeps a counter for each. `append_windows` is the mode for input without end.
     """
-    run = time.time_ns()
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        _write_slot(batch, batch_id, target, run)
+        _write_slot(batch, target, *_turn(batch.sparkSession, target, _query_id(batch), batch_id))
 
     return _started(counts.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)
 
@@ -94,37 +98,69 @@ def append_windows(
     return _started(writer, checkpoint, every)
 
 
-def _write_slot(rows: DataFrame, batch_id: int, target: str, run: int) -> None:
-    """Write a batch's result to its slot, marked with the run and the batch."""
-    marked = rows.withColumns({"run": F.lit(run).cast("bigint"), "batch": F.lit(batch_id).cast("bigint")})
-    marked.write.mode("overwrite").parquet(f"{target}/slot={batch_id % 2}")
+#: run: number of the query among those that wrote to the target, in order of their first batch.
+MARK = "run bigint, batch bigint, query string"
+
+
+def _query_id(batch: DataFrame) -> str:
+    """The id that the checkpoint of the running query carries."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _marks(spark: SparkSession, target: str) -> dict[int, tuple]:
+    """Slot -> (run, batch, query); two small files at most."""
+    try:
+        rows = spark.read.schema(f"{MARK}, slot int").parquet(f"{target}/marks").collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    return {row["slot"]: (row["run"], row["batch"], row["query"]) for row in rows}
+
+
+def _turn(spark: SparkSession, target: str, query: str, batch_id: int) -> tuple[int, tuple]:
+    """The slot for a batch, and its mark. The same again when a batch is run again."""
+    marks = _marks(spark, target).values()
+    runs = [run for run, _, by in marks if by == query]
+    run = runs[0] if runs else max((run for run, _, _ in marks), default=0) + 1
+    return batch_id % 2, (run, batch_id, query)
+
+
+def _write_slot(rows: DataFrame, target: str, slot: int, mark: tuple) -> None:
+    """Write a batch's result to its slot, and then its mark.
+
+    Until the mark is there, readers go by the mark of the other slot.
+    """
+    rows.write.mode("overwrite").parquet(f"{target}/rows/slot={slot}")
+    marks = rows.sparkSession.createDataFrame([mark], MARK).coalesce(1)
+    marks.write.mode("overwrite").parquet(f"{target}/marks/slot={slot}")
 
 
 def _advance(
-    batch: DataFrame, batch_id: int, target: str, run: int, change: DataFrame,
-    merge: Callable[[DataFrame], DataFrame],
+    batch_id: int, target: str, query: str, change: DataFrame, merge: Callable[[DataFrame], DataFrame]
 ) -> None:
     """Merge a batch's rows into the running result.
 
-    Batches write to two slots in turn. Batch k reads the slot of batch k-1 and overwrites
-    the other, so running it again gives the same result, and storage stays at two copies.
+    Batch k reads the slot of batch k-1 and overwrites the other, so running it again gives
+    the same result, and storage stays at two copies however many batches there are.
     Readers of the other slot see all of it meanwhile.
     """
-    rows = change
+    spark, rows = change.sparkSession, change
+    slot, mark = _turn(spark, target, query, batch_id)
     if batch_id > 0:
-        before = batch.sparkSession.read.parquet(f"{target}/slot={(batch_id - 1) % 2}")
-        rows = rows.unionByName(before.drop("run", "batch"))
-    _write_slot(merge(rows), batch_id, target, run)
+        before = spark.read.schema(change.schema).parquet(f"{target}/rows/slot={1 - slot}")
+        rows = rows.unionByName(before)
+    _write_slot(merge(rows), target, slot, mark)
 
 
 def running_result(spark: SparkSession, target: str) -> DataFrame:
-    """The result after the last finished batch of the run that started last.
+    """The result after the last finished batch of the query that wrote first most recently.
 
-    A new checkpoint counts its batches from 0; its start time tells them from older ones.
+    Which slot that is, is a scalar over the marks, and only that slot is read.
     """
-    slots = spark.read.parquet(target)
-    last = slots.agg(F.max(F.struct("run", "batch"))).scalar()
-    return slots.where(F.struct("run", "batch") == last).drop("run", "batch", "slot")
+    marks = spark.read.schema(f"{MARK}, slot int").parquet(f"{target}/marks")
+    last = marks.agg(F.max_by("slot", F.struct("run", "batch"))).scalar()
+    return spark.read.parquet(f"{target}/rows").where(F.col("slot") == last).drop("slot")
 
 
 def count_locations(sessions: DataFrame, players: DataFrame) -> DataFrame:
@@ -145,10 +181,8 @@ def refresh_location_counts(
     def total(rows: DataFrame) -> DataFrame:
         return rows.groupBy("city", "country").agg(F.sum("active_sessions").alias("active_sessions"))
 
-    run = time.time_ns()
-
     def add(batch: DataFrame, batch_id: int) -> None:
-        _advance(batch, batch_id, target, run, count_locations(batch, players), total)
+        _advance(batch_id, target, _query_id(batch), count_locations(batch, players), total)
 
     needed = completed(sessions).select("player_id", "status")
     return _started(needed.writeStream.foreachBatch(add), checkpoint, every)
@@ -168,11 +202,9 @@ def refresh_newest(
     of the batch. The globe over these rows costs n rows instead of a scan of all sessions.
     """
 
-    run = time.time_ns()
-
     def keep(batch: DataFrame, batch_id: int) -> None:
         newest = globe.latest_located(batch, players, n)
-        _advance(batch, batch_id, target, run, newest, lambda rows: globe.newest_of(rows, n))
+        _advance(batch_id, target, _query_id(batch), newest, lambda rows: globe.newest_of(rows, n))
 
     needed = completed(sessions).select(
         "session_id", "player_id", "start_time", "time_played_minutes", "status"

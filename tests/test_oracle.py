@@ -9,6 +9,9 @@ from checks.compare import compare, connect
 from playlens.plans.queries import REPORTS
 from tests.conftest import DATA
 
+#: Every player of the smallest tables has a transaction; `players_without_kind` has rows.
+MAY_BE_EMPTY = {"nonpaying_players"}
+
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not mounted")
 
 
@@ -28,7 +31,7 @@ def test_matches_oracle(spark, duck, name):
         registry.queries()[name](spark, str(DATA)), duck, registry.oracle_sql()[name]
     )
     assert not problems
-    assert rows > 0
+    assert rows > 0 or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):

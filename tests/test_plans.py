@@ -17,7 +17,8 @@ from tests.conftest import DATA
 
 EAGER = {
     "save_tables_roundtrip", "saved_tables", "saved_peak_hours", "table_row_counts", "stream_active_sessions_5min",
-    "stream_closed_windows", "stream_location_counts", "stream_globe",
+    "stream_closed_windows", "stream_location_counts", "stream_globe", "stored_latest_sessions", "stored_globe",
+    "catalog_row_counts", "catalog_sessions_with_location",
 }
 
 
@@ -65,10 +66,73 @@ def test_no_nested_loops_and_no_python_rows(spark, bound, name):
     assert "EvalPython" not in text and "InPandas" not in text
 
 
-def test_flagship_shuffles_no_player_when_candidates_suffice(spark, stored):
-    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
-        text = plan(globe.latest_located(stored["sessions"], stored["players"], n=50))
-    assert "Exchange" not in text and "Join" not in text and "/newest-" in text
+def all_scans(spark, df) -> list[tuple[str, int]]:
+    """(table and columns, rows read) per scan that ran, those of subqueries included."""
+    df.collect()
+    found = {}
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("Scan") or name.startswith("FileScan"):
+            found[node.id()] = (node.simpleString(1000), node.metrics().get("numOutputRows").get().value())
+        if name.startswith("AdaptiveSparkPlan"):
+            walk(node.executedPlan())
+        if name.endswith("QueryStage") or name == "ReusedSubquery":
+            walk(node.plan() if name.endswith("QueryStage") else node.child())
+        for nodes in (node.children(), node.subqueries()):
+            for i in range(nodes.size()):
+                walk(nodes.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return list(found.values())
+
+
+def test_flagship_reads_nothing_more_when_candidates_suffice(spark, stored):
+    """Sessions once for the candidates, players once; the branch over all sessions reads no row."""
+    before = folders(spark)
+    df = globe.latest_located(stored["sessions"], stored["players"], n=50)
+    assert folders(spark) == before, "nothing is written while the query is built"
+    read = all_scans(spark, df)
+    assert sum(n for scan, n in read if "start_time" in scan) == stored["sessions"].count()
+    assert sum(n for scan, n in read if "latitude" in scan) == stored["players"].count()
+    assert folders(spark) == before, "nor when it is run"
+
+
+def folders(spark):
+    from pathlib import Path
+
+    return sorted(p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
+
+
+def test_flagship_joins_all_sessions_when_candidates_do_not_suffice(spark, stored):
+    few = stored["players"].where("player_id % 15 = 0")
+    df = globe.latest_located(stored["sessions"], few, n=30, margin=1)
+    rows = df.collect()
+    expected = joins.with_location(stored["sessions"], few).orderBy(F.desc("start_time"), F.desc("session_id")).limit(30)
+    assert len(rows) == 30 and {r["session_id"] for r in rows} == {r["session_id"] for r in expected.collect()}
+
+
+def test_newest_sessions_skip_files_by_their_time(spark, bound):
+    from playlens.session import workspace
+
+    folder = workspace(spark, "by-time")
+    sessions = tables.with_zone(bound.sessions)
+    with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        tables.save_tables({"sessions": sessions}, folder, {"sessions": ["start_time", "session_id"]})
+    saved = tables.scan(spark, folder, "sessions")
+    bounds = spark.read.parquet(tables.save_time_bounds(saved, folder))
+    everything = saved.count()
+    for n in (1, 40, 100):
+        df = globe.latest(saved, n, since=tables.newest_since(bounds, n))
+        read = [(scan, rows) for scan, rows in all_scans(spark, df) if "session_id" in scan]
+        assert 0 < sum(rows for _, rows in read) <= everything / 2
+        assert df.select("session_id").collect() == globe.latest(bound.sessions, n).select("session_id").collect()
+    # More rows than there are, or a status that nobody has: no bound, and all rows count.
+    for n, status in ((10 * everything, "completed"), (5, "paused")):
+        since = tables.newest_since(bounds, n, status)
+        assert globe.latest(saved, n, status, since).count() == globe.latest(saved, n, status).count()
+    located = globe.latest_located(saved, bound.players, 20, since=tables.newest_since(bounds, 80))
+    assert located.select("session_id").collect() == globe.latest_located(bound.sessions, bound.players, 20).select("session_id").collect()
 
 
 @pytest.mark.parametrize("name", sorted(REPORTS))

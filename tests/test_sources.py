@@ -96,6 +96,7 @@ def test_warehouse_tables_carry_the_derived_fields(spark, bound):
     raw = {name: df for name, df in bound.tables.items() if name != "player_cohorts"}
     paths = warehouse.save_warehouse(spark, raw, folder, bindings.END, bindings.COHORT_REGION)
     assert set(paths) == set(bound.tables)
+    folder = tables.current(spark, folder)
     players = tables.scan(spark, folder, "players")
     expected = cohorts.finalize_players(bound.players, bound.transactions)
     assert spark.read.parquet(paths["players"]).columns == players.columns
@@ -111,3 +112,45 @@ def test_warehouse_tables_carry_the_derived_fields(spark, bound):
     assert tuples(panels.peak_hours(tables.scan(spark, folder, "sessions"), with_region)) == tuples(
         panels.peak_hours(bound.sessions, bound.players)
     )
+
+
+def test_a_failed_save_leaves_the_last_snapshot(spark, bound):
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from playlens.plans import warehouse
+
+    folder = workspace(spark, "warehouse")
+    raw = {name: df for name, df in bound.tables.items() if name != "player_cohorts"}
+    save = lambda frames: warehouse.save_warehouse(spark, frames, folder, bindings.END, bindings.COHORT_REGION)
+    with pytest.raises(ValueError):
+        tables.current(spark, folder)
+    save(raw)
+    first = tables.current(spark, folder)
+    names = lambda: sorted(p.name for p in Path(folder).iterdir())
+    assert names() == ["saves", Path(first).name], "no staging folder stays"
+    before = tuples(tables.scan(spark, first, "player_cohorts"))
+    broken = raw | {"transactions": raw["transactions"].withColumn("amount", F.raise_error(F.lit("lost")).cast("bigint"))}
+    with pytest.raises(Exception, match="lost"):
+        save(broken)
+    assert tables.current(spark, folder) == first and names() == ["saves", Path(first).name]
+    assert tuples(tables.scan(spark, first, "player_cohorts")) == before
+    fewer = raw | {"players": raw["players"].where("player_id < 50")}
+    save(fewer)
+    second = tables.current(spark, folder)
+    assert tables.scan(spark, second, "players").count() == 50 and tables.scan(spark, first, "players").count() == 150
+    save(raw)
+    assert names() == sorted(["saves", Path(second).name, Path(tables.current(spark, folder)).name]), "two snapshots are kept"
+
+
+def test_catalog_keys_join_without_a_shuffle(spark, bound):
+    from playlens.plans.queries import build
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = build("catalog_sessions_with_location")(spark, bound.folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in text and "Exchange" not in text and "SelectedBucketsCount: 8 out of 8" in text

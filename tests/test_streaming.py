@@ -81,16 +81,76 @@ def test_newest_sessions_across_batches_and_late_files(spark, bound, files):
     assert tuples(activity.running_result(spark, target).select(columns)) == tuples(expected)
 
 
-def test_a_batch_run_twice_changes_nothing(spark, bound):
-    target = workspace(spark, "slots")
-    frames = [spark.createDataFrame([(i, 10 * i)], "k bigint, v bigint") for i in range(3)]
+def total(rows):
+    return rows.agg(F.sum("k").alias("k"), F.sum("v").alias("v"))
 
-    def total(rows):
-        return rows.agg(F.sum("k").alias("k"), F.sum("v").alias("v"))
 
+def test_a_batch_run_twice_changes_nothing(spark):
+    target = workspace(spark, "slots")
+    frames = [spark.createDataFrame([(i, 10 * i)], "k bigint, v bigint") for i in range(3)]
     for batch_id in (0, 0, 1, 1, 2, 2, 2):
-        activity._advance(frames[batch_id], batch_id, target, 1, frames[batch_id], total)
+        activity._advance(batch_id, target, "one", frames[batch_id], total)
     assert tuples(activity.running_result(spark, target)) == [(3, 30)]
-    # A new checkpoint starts again from batch 0, while the other slot holds an older run.
-    activity._advance(frames[1], 0, target, 2, frames[1], total)
+    # A new checkpoint starts again from batch 0, while the other slot holds an older query's.
+    activity._advance(0, target, "two", frames[1], total)
     assert tuples(activity.running_result(spark, target)) == [(1, 10)]
+    activity._advance(0, target, "two", frames[2], total)
+    assert tuples(activity.running_result(spark, target)) == [(2, 20)]
+
+
+def test_an_empty_result_replaces_an_older_one(spark):
+    target = workspace(spark, "slots")
+    rows = spark.createDataFrame([(1, 1)], "k bigint, v bigint")
+    for batch_id in range(3):
+        activity._advance(batch_id, target, "old", rows, lambda found: found)
+    assert activity.running_result(spark, target).count() == 3
+    # Batch 0 of a new query finds nothing: its slot is empty, and its mark says that it is the last.
+    activity._advance(0, target, "new", rows.where("k > 1"), lambda found: found)
+    assert activity.running_result(spark, target).count() == 0
+    activity._advance(1, target, "new", rows, lambda found: found)
+    assert tuples(activity.running_result(spark, target)) == [(1, 1)]
+
+
+def test_a_batch_that_fails_leaves_the_result(spark):
+    target = workspace(spark, "slots")
+    rows = spark.createDataFrame([(1, 1)], "k bigint, v bigint")
+    activity._advance(0, target, "one", rows, total)
+    broken = rows.withColumn("k", F.raise_error(F.lit("lost")).cast("bigint"))
+    with pytest.raises(Exception, match="lost"):
+        activity._advance(1, target, "one", broken, total)
+    assert tuples(activity.running_result(spark, target)) == [(1, 1)]
+    activity._advance(1, target, "one", rows, total)
+    assert tuples(activity.running_result(spark, target)) == [(2, 2)]
+
+
+def test_many_batches_leave_two_slots_and_nothing_else(spark, bound):
+    """A micro-batch per file: the shared folder holds what it held before, and the two slots."""
+    from pathlib import Path
+
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    folder, target, state = (workspace(spark, name) for name in ("events", "newest", "state"))
+    bound.raw("events").limit(300).repartition(30, "event_id").write.parquet(folder)
+    before = {p.name for p in root.iterdir()}
+    session, sessions = stream(spark, folder)
+    players = Bindings(session, bound.folder).players
+    query = activity.refresh_newest(sessions, players, target, state, n=20)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] >= 25
+    assert {p.name for p in root.iterdir()} - before == {Path(target).name, Path(state).name}
+    assert {str(p.relative_to(target)) for p in Path(target).glob("*/*")} == {
+        f"{kind}/slot={k}" for kind in ("rows", "marks") for k in (0, 1)
+    }
+    files = [p for p in Path(target).rglob("*.parquet")]
+    assert len(files) <= 4
+    expected = globe.latest_located(bindings.sessions_from_events(spark.read.parquet(folder)), bound.players, 20)
+    assert tuples(activity.running_result(spark, target).select(expected.columns)) == tuples(expected)
+
+
+def test_only_the_last_slot_is_read(spark):
+    from tests.test_plans import scans
+
+    target = workspace(spark, "slots")
+    rows = spark.range(100).selectExpr("id AS k", "id AS v")
+    for batch_id in range(2):
+        activity._advance(batch_id, target, "one", rows, lambda found: found)
+    assert [n for scan, n in scans(activity.running_result(spark, target)) if "k#" in scan] == [200]
