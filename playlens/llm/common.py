@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from playlens.session import workspace
+from playlens.session import remove, workspace
 
 #: A word is a run of anything but ASCII white space, which is also what bytes.split() takes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,14 @@ def save(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete saved tables once nothing reads them any more, so that storage doesn't grow with the steps."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def spread(df: DataFrame, *keys: Column) -> DataFrame:
     """`df` dealt by `keys` over the session's number of shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

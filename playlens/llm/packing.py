@@ -12,9 +12,12 @@ applied to the pieces in parallel.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -22,16 +25,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from playlens.llm.bpe import Recent, piece, pieces
 from playlens.llm.common import fresh, save, tokenizer_path
+from playlens.llm.tokens import PATTERN, byte_characters
 
 CAPACITY = 1024
 END = 2
 WIDTH = 4  # bytes of an id
+#: The pre-tokenizer of a vocabulary that both libraries read alike (fixed values).
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
 
 class Ids:
-    """Ids of texts, as little-endian unsigned 32-bit integers."""
+    """Ids of texts as the `tokenizers` library gives them, as little-endian unsigned 32-bit integers.
+
+    Most texts are encoded by tiktoken, several times as fast, on the same vocabulary. Both merge the
+    lowest-ranked pair again and again. tiktoken takes any two neighbours that make up a token
+    for a pair, the library only those in its list of merges. The two can't differ if every token of the
+    vocabulary, given as a text, is merged into that one token: two neighbours in a longer text
+    that make up a token but are no listed pair would also be where the token on its own gets
+    stuck. That is checked when the vocabulary is read; one that fails is left to the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,32 +52,46 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        special = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
-        #: A blank and visible characters, none of them part of an added token.
-        self.plain = re.compile(rf" (?!.*(?:{'|'.join(special) or '(?!)'}))\S+", re.DOTALL)
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
-        self.starts[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
-        self.known = Recent(self._encode_pieces, 400_000)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, keys: list[str]) -> list[bytes]:
-        """One call for all plain pieces: joined, each starts where a token starts with a blank."""
-        new = [piece(key) for key in keys]
-        plain = [bool(self.plain.fullmatch(p)) for p in new]
-        joined = np.array(self._encode(["".join(p for p, a in zip(new, plain) if a)])[0], "<u4")
-        edges = [*(np.flatnonzero(self.starts[joined]) * WIDTH).tolist(), len(joined) * WIDTH]
-        data = joined.tobytes()
-        parts = (data[a:b] for a, b in zip(edges, edges[1:]))
-        odd = (np.array(x, "<u4").tobytes() for x in self._encode([p for p, a in zip(new, plain) if not a]))
-        return [next(parts) if a else next(odd) for a in plain]
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        added = [token["content"] for token in spec.get("added_tokens", ())]
+        #: Texts for the library: with an added token, or so much white space that a regex runs out of stack.
+        self.odd = re.compile("|".join([*map(re.escape, added), r"\s{500}"]))
+        self.fast = self._fast(spec, set(added))
+
+    def _fast(self, spec: dict, added: set[str]):
+        """A tiktoken encoder that gives the same ids, or None."""
+        import tiktoken
+
+        vocab = {token: i for token, i in spec["model"]["vocab"].items() if token not in added}
+        byte_of = {c: b for b, c in byte_characters().items()}
+        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"].get("merges", ()))
+        made = [vocab.get(left + right, -1) for left, right in merges]
+        usual = (
+            spec["pre_tokenizer"] == BYTE_LEVEL and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+            and all(set(token) <= byte_of.keys() for token in vocab) and all(b in vocab for b in byte_of)
+            and all(a < b for a, b in zip([max((vocab[b] for b in byte_of), default=0), *made], made))
+            and all(len(self.tokenizer.model.tokenize(token)) == 1 for token in vocab)
+        )
+        if not usual:
+            return None
+        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocab.items()}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(text) for text in texts]
-        self.known.learn(cut)
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
+        return [self._packed(self._one(text)) for text in texts]
+
+    def _one(self, text: str) -> list[int]:
+        if self.fast and not self.odd.search(text):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        numbers = array("I", ids)
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        return numbers.tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -106,6 +133,8 @@ def pieces_of(docs: DataFrame, key: str = "doc_id", vocabulary: str | None = Non
                 kinds = (pa.int32(), *(pa.int64(),) * 3, pa.int32(), pa.int64())
                 columns += [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        # Workers live on from stage to stage; read again, the vocabulary costs a third of a second.
+        ids.cache_clear()
 
     names = [key, "piece", "start", "length", "ids_crc32", "part", "place"]
     kinds = [docs.schema[key].dataType, T.IntegerType(), *[T.LongType()] * 3, T.IntegerType(), T.LongType()]
