@@ -26,12 +26,17 @@ KNOWN, OWN = 100_000, 16_000
 HASHED = 1024
 #: Training ends when a pass gains less than this share of the log likelihood.
 GAIN = 5e-4
-#: Training sees texts in segments of so many tokens; scoring doesn't.
-SEGMENT = 128
+#: Training cuts longer texts into segments of so many tokens, each seen with CONTEXT tokens on either side. The
+#: forward and backward values come through the context; only a segment's own tokens and moves are counted.
+SEGMENT, CONTEXT = 512, 32
 #: Pseudo-counts that tie a state's emissions to the frequencies of the classes.
 PRIOR = 200.0
+#: Of the recursions within a pass; their sums, and scoring, are double.
+REAL = np.float32
 FLUSH = 300_000
 END = ""
+#: A class as it is stored; there are 1 + OWN + HASHED at most.
+CLASS = np.dtype("<u2")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,8 +142,10 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
     Columns: row (a number of its own), doc_id, held_out, n_tokens, n_known, known_log and shared_log
     (sums of log10(count + 0.5) over known words and the end, and over those in hashed classes),
-    hashed_log (what the hashed classes divide by), seq (classes), rare (words not known).
+    hashed_log (what the hashed classes divide by), seq (classes, two bytes each), rare (words not known).
     """
+    if v.classes > 1 << 8 * CLASS.itemsize:
+        raise ValueError(f"{v.classes} classes don't fit {CLASS}")
     log_count, end_log, hashed = np.log10(v.counts + 0.5), math.log10(v.ends + 0.5), v.hashed_log()
     number = {word.encode(): i for i, word in enumerate(v.words)}
     of_known = np.array(
@@ -167,19 +174,18 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
                     ))
                     at += 1
                 row, n, known, log, shared, divided, seqs, rares = zip(*out)
-                sizes = np.cumsum([0, *map(len, seqs)]).astype(np.int32)
                 edges = np.cumsum([0, *map(len, rares)]).astype(np.int32)
                 flat = pa.array([w for ws in rares for w in ws], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row, pa.int64()), some.column(0), some.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
                     pa.array(log), pa.array(shared), pa.array(divided),
-                    pa.ListArray.from_arrays(sizes, np.concatenate(seqs).astype(np.int32)), pa.ListArray.from_arrays(edges, flat),
+                    pa.array([s.astype(CLASS).tobytes() for s in seqs], pa.binary()), pa.ListArray.from_arrays(edges, flat),
                 ], names=names)
 
     fields = [
         ("row", T.LongType()), ("doc_id", docs.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()),
         ("n_known", T.LongType()), ("known_log", T.DoubleType()), ("shared_log", T.DoubleType()), ("hashed_log", T.DoubleType()),
-        ("seq", T.ArrayType(T.IntegerType())), ("rare", T.ArrayType(T.StringType())),
+        ("seq", T.BinaryType()), ("rare", T.ArrayType(T.StringType())),
     ]
     names = [name for name, _ in fields]
     schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
@@ -189,7 +195,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
 @dataclass
 class Model:
-    """start: of a text; inside: of a segment within one; move: state to state; emit: class x state."""
+    """start: of a text; inside: where the context of a segment starts within one; move: state to state; emit: class x state."""
 
     start: np.ndarray
     inside: np.ndarray
@@ -215,43 +221,76 @@ class Model:
         return Model(start / start.sum(), inside / inside.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def segments(seqs: list[np.ndarray], length: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes, valid, first): texts in rows of `length`, -1 behind the end; first: starts a text."""
-    rows = [np.concatenate([s, np.full(-len(s) % length, -1, s.dtype)]).reshape(-1, length) for s in seqs]
-    first = np.zeros(sum(map(len, rows)), bool)
-    first[np.cumsum([0, *map(len, rows[:-1])])] = True
-    grid = np.concatenate(rows)
-    return grid, grid >= 0, first
-
-
-def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log likelihood, of some texts."""
-    grid, valid, first = segments(seqs)
-    n, length, states = len(grid), grid.shape[1], len(model.start)
-    alpha = np.empty((length, n, states))
-    scale = np.ones((length, n))
-    likely = model.emit[np.where(valid, grid, 0)].transpose(1, 0, 2) * valid.T[:, :, None]
-    now = np.where(first[:, None], model.start, model.inside) * likely[0]
-    for t in range(length):
+@dataclass
+class Rows:
+    """Texts and segments of longer ones, longest first, as places in one array of classes."""
+
+    flat: np.ndarray
+    start: np.ndarray   # place of the first token
+    length: np.ndarray
+    first: np.ndarray   # whether the row starts a text
+    low: np.ndarray     # tokens low <= i < high of the row are its own, the others context
+    high: np.ndarray
+
+
+def rows_of(seqs: list[np.ndarray], length: int = SEGMENT, context: int = CONTEXT) -> Rows:
+    """Texts whole, longer ones in segments of `length` tokens with `context` tokens around them."""
+    rows, at = [], 0
+    for seq in seqs:
+        for low in range(0, len(seq), length):
+            high = min(low + length, len(seq))
+            a, b = max(0, low - context), min(len(seq), high + context)
+            rows.append((at + a, b - a, low == 0, low - a, high - a))
+        at += len(seq)
+    start, size, first, low, high = (np.array(c) for c in zip(*sorted(rows, key=lambda r: (-r[1], r[0]))))
+    return Rows(np.concatenate(seqs), start, size, first, low, high)
+
+
+def expected(
+    model: Model, seqs: list[np.ndarray], length: int = SEGMENT, context: int = CONTEXT
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts of starts, moves and emissions, and the log likelihood, of some texts.
+
+    All rows take a step at once; the longest come first, so those still going are a prefix.
+    """
+    r = rows_of(seqs, length, context)
+    n, steps, states = len(r.start), int(r.length[0]), len(model.start)
+    going = n - np.searchsorted(r.length[::-1], np.arange(steps), side="right")
+    # Tokens by step, then by row; rows that have ended take no part.
+    step = np.repeat(np.arange(steps, dtype=np.int32), going)
+    first = np.r_[0, np.cumsum(going)]
+    row = np.arange(first[-1], dtype=np.int32) - first[step].astype(np.int32)
+    classes = r.flat[r.start[row] + step]
+    own = (step >= r.low[row]) & (step < r.high[row])
+    cut = not own.all()  # some row has context
+    emit, move, ones = model.emit.astype(REAL), model.move.astype(REAL), np.ones(states, REAL)
+    likely = emit[classes]
+    alpha, scale = np.empty_like(likely), np.empty(len(likely), REAL)
+    now = np.where(r.first[:, None], model.start, model.inside).astype(REAL) * likely[:n]
+    for t in range(steps):
+        at, k = slice(first[t], first[t + 1]), going[t]
         if t:
-            now = (now @ model.move) * likely[t]
-        total = now.sum(1)
-        on = valid[:, t]
-        scale[t] = np.where(on, total, 1.0)
-        now = np.where(on[:, None], now / scale[t][:, None], 0.0)
-        alpha[t] = now
-    beta = np.ones((n, states))
-    moves = np.zeros((states, states))
-    for t in range(length - 1, -1, -1):
-        if t < length - 1:
-            ahead = likely[t + 1] * beta / scale[t + 1][:, None]
-            moves += alpha[t].T @ ahead
-            # Behind the end of a text nothing follows: its last token's beta is one.
-            beta = np.where(valid[:, t + 1][:, None], ahead @ model.move.T, 1.0)
-        alpha[t] *= beta
-    weights = alpha.transpose(1, 0, 2)[valid]
-    emit = np.stack([np.bincount(grid[valid], weights[:, s], len(model.emit)) for s in range(states)], 1)
-    return alpha[0][first].sum(0), moves * model.move, emit, float(np.log(scale).sum())
+            now = now[:k] @ move
+            now *= likely[at]
+        total = scale[at] = now @ ones
+        now /= total[:, None]
+        alpha[at] = now
+    likely /= scale[:, None]
+    back, moves = np.ones((n, states), REAL), np.zeros((states, states))
+    for t in range(steps - 1, 0, -1):
+        at, k = slice(first[t], first[t + 1]), going[t]
+        ahead = likely[at]
+        ahead *= back[:k]
+        alpha[at] *= back[:k]
+        before = alpha[first[t - 1]:first[t - 1] + k]
+        moves += before.T @ (ahead * own[at, None] if cut else ahead)
+        back[:k] = ahead @ move.T
+    alpha[:n] *= back
+    weights = np.ascontiguousarray((alpha[own] if cut else alpha).T, dtype=np.float64)
+    classes = classes[own] if cut else classes
+    emitted = np.stack([np.bincount(classes, weights[s], len(emit)) for s in range(states)], 1)
+    log = np.log(scale[own], dtype=np.float64).sum()
+    return alpha[:n][r.first].sum(0, dtype=np.float64), moves * model.move, emitted, float(log)
 
 
 def trained(texts: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Model, float]:
@@ -282,19 +321,15 @@ def trained(texts: DataFrame, model: Model, frequency: np.ndarray) -> tuple[Mode
 
 
 def _bunches(batches, tokens_at_once: int = 150_000):
-    """Sequences in lists of about `tokens_at_once` tokens."""
+    """Whole texts in lists of about `tokens_at_once` tokens."""
     bunch, size = [], 0
     for batch in batches:
-        column = batch.column(0)
-        flat, edges = column.values.to_numpy(), column.offsets.to_numpy()
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            for at in range(a, b, tokens_at_once - tokens_at_once % SEGMENT):
-                part = flat[at:min(b, at + tokens_at_once - tokens_at_once % SEGMENT)]
-                bunch.append(part)
-                size += len(part)
-                if size >= tokens_at_once:
-                    yield bunch
-                    bunch, size = [], 0
+        for seq in batch.column(0):
+            bunch.append(np.frombuffer(seq.as_buffer(), CLASS))
+            size += len(bunch[-1])
+            if size >= tokens_at_once:
+                yield bunch
+                bunch, size = [], 0
     if bunch:
         yield bunch
 
@@ -351,8 +386,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("double")
     def forward(seqs: pa.Array) -> pa.Array:
-        flat, edges = seqs.values.to_numpy(), seqs.offsets.to_numpy()
-        parts = [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        parts = [np.frombuffer(seq.as_buffer(), CLASS) for seq in seqs]
         out = [log_likelihoods(model, parts[i:i + 2000]) for i in range(0, len(parts), 2000)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
