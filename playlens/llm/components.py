@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from playlens.llm.common import save
+from playlens.llm.common import release, save
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before, now = None, _state(links)
     while now != before:
-        links = save(_small_star(_large_star(links)), "links")
+        last, links = links, save(_small_star(_large_star(links)), "links")
+        release(last)
         before, now = now, _state(links)
     stars = links.select(F.col("high").alias("a"), F.col("low").alias("component"))
     return both_ends.join(stars, "a", "left").select(

@@ -6,8 +6,10 @@ compared a few values at a time and dropped as soon as the posterior probability
 similarity reaches the threshold falls below a tolerance. What survives is verified on
 the exact sets.
 
-No step writes one row per pair. A bucket of any size is cut into blocks, and a task compares two
-blocks; it hands on one row per text with the texts it may be similar to. Verified links
+No step writes a pair, neither as a row nor in a list. A bucket of any size is cut into blocks, bounded by rows
+and by shingles, and a task compares two blocks. A first pass on MinHash values alone tells which texts
+have any candidate in which task. Only those texts are shingled again, once, and dealt to those
+tasks, where the same pruning is repeated and what survives is verified at once. Links
 leave as counts per text and as the few edges that hold a block's components together.
 """
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from playlens.llm.components import components
-from playlens.llm.common import fresh, save, spread, text_hash
+from playlens.llm.common import fresh, release, save, spread, text_hash
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -33,7 +35,8 @@ VALUES = BANDS * ROWS
 #: A pair is dropped when its chance of reaching the threshold is below TOLERANCE.
 TOLERANCE = 1e-6
 STEP = 16
-BLOCK = 256
+#: Texts and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 _RNG = np.random.default_rng(20240501)  # fixed seed: all executors use the same functions
 _FACTORS = _RNG.integers(1, 2**63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(0, 2**63, VALUES, np.uint64)
@@ -121,13 +124,12 @@ def _bands(sig: Column) -> Column:
     ))
 
 
-def _dealt(rows: DataFrame, size: Column, member: Column) -> DataFrame:
+def _dealt(rows: DataFrame, blocks: Column, member: Column) -> DataFrame:
     """Each row once per pair of blocks that its block takes part in.
 
-    A bucket of `size` rows has size / BLOCK blocks. Column task is struct(i, j) with i <= j,
-    side is 0 where the row belongs to block i and 1 where it belongs to block j.
+    A bucket has `blocks` blocks. Column task is struct(i, j) with i <= j, side is 0 where
+    the row belongs to block i and 1 where it belongs to block j.
     """
-    blocks = F.ceil(size / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     tasks = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(
         F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), (own > other).cast("int").alias("side")
@@ -158,51 +160,53 @@ def _groups(batches, key_columns: int):
         yield rest
 
 
-def candidates(bands: DataFrame, sig: DataFrame) -> DataFrame:
-    """(task, a, others): texts and those that pruning leaves them, per pair of blocks.
+#: What names a task: the bucket, and the two blocks of it.
+TASK = ("band", "value", "i", "j")
 
-    `bands` has (band, value, key), `sig` has (key, sig). A pair counts in the first band that it
-    shares only. A text that is only another's candidate has an empty list.
+
+def candidates(sigs: DataFrame) -> DataFrame:
+    """(band, value, i, j, side, key): the texts that pruning leaves a partner, per task.
+
+    `sigs` has (key, n, sig). A pair counts in the first band that it shares only.
     """
-    full = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    rows = bands.join(full, ["band", "value"]).join(sig, "key")
-    dealt = _dealt(rows, F.col("m"), F.col("key")).select("band", "value", "i", "j", "side", "key", "sig")
-    keys = ["band", "value", "i", "j"]
-    dealt = spread(dealt, *map(F.col, keys)).sortWithinPartitions(*keys)
-    needed = [fewest_matches(n) for n in range(STEP, VALUES + 1, STEP)]
+    bands = sigs.select("key", "n", F.explode(_bands(F.col("sig"))).alias("b")).select("b.band", "b.value", "key", "n")
+    rows_, shingles_ = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)
+    full = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("m > 1").select(
+        "band", "value", F.greatest(rows_, F.least(shingles_, F.col("m"))).cast("int").alias("blocks")
+    )
+    rows = bands.drop("n").join(full, ["band", "value"]).join(sigs.select("key", "sig"), "key")
+    dealt = _dealt(rows, F.col("blocks"), F.col("key")).select(*TASK, "side", "key", "sig")
+    dealt = spread(dealt, *map(F.col, TASK)).sortWithinPartitions(*TASK)
+    schema = "band int, value binary, i int, j int, side int, key binary"
 
     def prune(batches):
-        out: list[tuple] = []
-        for group in _groups(batches, len(keys)):
+        for group in _groups(batches, len(TASK)):
             if group.num_rows < 2:
                 continue
-            band, i, j = (group.column(c)[0].as_py() for c in (0, 2, 3))
-            names = group.column(5).to_pylist()
-            values = np.frombuffer(b"".join(group.column(6).to_pylist()), "<u2").reshape(len(names), VALUES)
-            side = group.column(4).to_numpy(zero_copy_only=False)
-            task = xxhash.xxh3_64_intdigest(group.column(1)[0].as_py() + bytes([band]) + f"{i},{j}".encode()) - 2**63
-            partners: dict[int, list[int]] = {}
-            for a in range(len(names)):
-                if i != j and side[a]:
-                    continue
-                b = np.flatnonzero(side == 1) if i != j else np.arange(a + 1, len(names))
-                b = _likely(values, a, b, band, needed)
-                if len(b):
-                    partners.setdefault(a, []).extend(b.tolist())
-                    for x in b.tolist():
-                        partners.setdefault(x, [])
-            out += [(task, names[a], [names[x] for x in others]) for a, others in partners.items()]
-            if len(out) >= 2000:
-                yield _rows(out)
-                out = []
-        if out:
-            yield _rows(out)
-
-    def _rows(out):
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["task", "a", "others"])
-
-    return dealt.mapInArrow(prune, "task long, a binary, others array<binary>")
+            some = np.zeros(group.num_rows, bool)
+            for a, found in _pairs(group):
+                some[a] = True
+                some[found] = True
+            at = pa.array(np.flatnonzero(some))
+            if len(at):
+                yield group.select([*TASK, "side", "key"]).take(at)
+
+    return dealt.mapInArrow(prune, schema)
+
+
+def _pairs(group: pa.RecordBatch):
+    """(a, partners) of a task: positions of the texts that pruning leaves as candidates, each pair once."""
+    band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+    values = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(group.num_rows, VALUES)
+    side = group.column("side").to_numpy(zero_copy_only=False)
+    needed = [fewest_matches(n) for n in range(STEP, VALUES + 1, STEP)]
+    right = np.flatnonzero(side == 1)
+    for a in range(group.num_rows):
+        if i != j and side[a]:
+            continue
+        found = _likely(values, a, right if i != j else np.arange(a + 1, group.num_rows), band, needed)
+        if len(found):
+            yield a, found
 
 
 def _likely(values: np.ndarray, a: int, b: np.ndarray, band: int, needed: list[int]) -> np.ndarray:
@@ -221,36 +225,44 @@ def _likely(values: np.ndarray, a: int, b: np.ndarray, band: int, needed: list[i
     return b
 
 
-def verified(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def hashed(texts: DataFrame) -> DataFrame:
+    """(key, copies, sig, found): the sorted hashes of the shingles, eight bytes each, of `texts` (key, copies, sig, text)."""
+    @F.arrow_udf("binary")
+    def arrays(column: pa.Array) -> pa.Array:
+        memory = _Words()
+        return pa.array([shingles(t.as_py() or "", memory).astype("<u8").tobytes() for t in column], pa.binary())
+
+    return texts.select("key", "copies", "sig", arrays(F.col("text")).alias("found"))
+
+
+def verified(found: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, links, copies): exact links per task.
 
-    `rows` has (task, a, others, copies, text). A row with b null adds `links` other texts and
-    `copies` documents to text a; a row with b is an edge of the block's spanning forest.
+    `found` are `candidates`, `sets` their `hashed` texts. A row with b null adds `links` other texts and
+    `copies` documents to text a; a row with b is an edge of the task's spanning forest.
     """
-    rows = spread(rows.select("task", "a", "others", "copies", "text"), F.col("task")).sortWithinPartitions("task")
+    rows = found.join(sets, "key").select(*TASK, "side", "key", "copies", "sig", "found")
+    rows = spread(rows, *map(F.col, TASK)).sortWithinPartitions(*TASK)
 
     def verify(batches):
-        for group in _groups(batches, 1):
-            names = group.column(1).to_pylist()
-            where = {name: i for i, name in enumerate(names)}
-            others = group.column(2).to_pylist()
-            copies = group.column(3).to_pylist()
-            memory = _Words()
-            sets = [shingles(t or "", memory) for t in group.column(4).to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            _, ranks = np.unique(flat, return_inverse=True)
+        for group in _groups(batches, len(TASK)):
+            names = group.column("key").to_pylist()
+            copies = group.column("copies").to_pylist()
+            blobs = group.column("found").to_pylist()
+            sizes = np.array([len(blob) // 8 for blob in blobs])
             edges = np.cumsum(np.r_[0, sizes])
-            inside = np.zeros(int(ranks.max()) + 2, bool)
+            ranks = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)[1].astype(np.int32)
+            del blobs
+            inside = np.zeros(int(ranks.max()) + 1, bool)
             root = list(range(len(names)))
             links, linked, forest = [0] * len(names), [0] * len(names), []
-            for a, found in enumerate(others):
-                b = np.array([where[name] for name in found], int)
-                if not len(b):
-                    continue
-                inside[:] = False
-                inside[ranks[edges[a]:edges[a + 1]]] = True
-                common = np.array([np.count_nonzero(inside[ranks[edges[x]:edges[x + 1]]]) for x in b.tolist()])
+            for a, b in _pairs(group):
+                own = ranks[edges[a]:edges[a + 1]]
+                inside[own] = True
+                # The smaller set must be `threshold` of the larger one at least.
+                b = b[np.minimum(sizes[b], sizes[a]) >= threshold * np.maximum(sizes[b], sizes[a]) - 1e-9]
+                common = np.array([np.count_nonzero(inside[ranks[edges[x]:edges[x + 1]]]) for x in b.tolist()], np.int64)
+                inside[own] = False
                 for x in b[common >= threshold * (sizes[a] + sizes[b] - common) - 1e-9].tolist():
                     for one, other in ((a, x), (x, a)):
                         links[one] += 1
@@ -284,8 +296,12 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     `rows`. `copies` counts the rows whose sets of shingles are equal, `n_links` the other
     rows whose similarity is `threshold` or more, copies included. `component` is the class of
     all that links connect, and `first` its first document by doc_id, null last. A text
-    without a word has no shingle and no link; each is a class of its own.
+    without a word has no shingle and no link; each is a class of its own. An empty table gives no row,
+    and a text of any length is compared whole. The bands are laid out for THRESHOLD: a
+    lower `threshold` would lose pairs and is refused.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the bands find pairs of similarity {THRESHOLD} or more")
     rows = docs.select("doc_id", text_hash().alias("text_key"), _profile(F.col("text")).alias("p"))
     rows = save(rows.select("doc_id", "text_key", "p.*"), "shingled")
     alone = F.concat(F.lit("-").cast("binary"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.col("text_key").cast("binary"))
@@ -295,23 +311,25 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs_once = save(docs_once, "documents-once")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     classes = save(docs_once.groupBy("key").agg(F.sum("rows").alias("copies"), F.min(order).alias("first")), "classes")
-    sigs = rows.where("n > 0").groupBy("key").agg(F.first("sig").alias("sig"))
-    sigs = save(sigs, "signatures")
-    bands = sigs.select("key", F.explode(_bands(F.col("sig"))).alias("b")).select("b.band", "b.value", "key")
-    found = save(candidates(bands, sigs), "candidates")
-    involved = found.select(F.col("a").alias("key")).distinct().join(classes, "key").select("key", "copies", "first.doc_id", "first.text_key")
-    texts = docs.select("doc_id", "text", text_hash().alias("text_key"))
-    texts = texts.join(
-        involved.withColumnsRenamed({"doc_id": "of", "text_key": "of_key"}),
-        F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")),
-    ).dropDuplicates(["key"]).select(F.col("key").alias("a"), "copies", "text")
-    links = save(verified(found.join(texts, "a"), threshold), "links-found")
+    sigs = save(rows.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
+    release(rows)
+    found = save(candidates(sigs), "candidates")
+    involved = found.select("key").distinct().join(classes, "key").join(sigs, "key").select(
+        "key", "copies", "sig", F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_key")
+    )
+    texts = docs.select("doc_id", "text", text_hash().alias("text_key")).join(
+        involved, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
+    )
+    sets = save(hashed(texts).dropDuplicates(["key"]), "shingle-sets")
+    links = save(verified(found, sets, threshold), "links-found")
+    release(found, sets, sigs)
     degrees = links.where("b IS NULL").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "key")
     groups = components(links.where("b IS NOT NULL").select("a", "b"))
     members = classes.join(groups.withColumnRenamed("node", "key"), "key", "left").join(degrees, "key", "left").select(
         "key", "copies", "first", F.coalesce("component", "key").alias("component"), F.coalesce("others", F.lit(0)).alias("others")
     )
     members = save(members, "members")
+    release(classes, links)
     firsts = members.groupBy("component").agg(F.min("first").alias("head"))
     return docs_once.join(members.drop("first").join(firsts, "component"), "key").select(
         "doc_id", "text_key", "rows", "copies", (F.col("copies") - 1 + F.col("others")).alias("n_links"), "component", "head"
