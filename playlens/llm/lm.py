@@ -137,6 +137,13 @@ def vocabulary(counts: DataFrame, known: int = KNOWN, own: int = OWN) -> Vocabul
     )
 
 
+class _Numbers(dict):
+    """Word -> number, -1 for unknown ones."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """The table of texts as classes: one row per row of `docs`.
 
@@ -147,7 +154,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
     if v.classes > 1 << 8 * CLASS.itemsize:
         raise ValueError(f"{v.classes} classes don't fit {CLASS}")
     log_count, end_log, hashed = np.log10(v.counts + 0.5), math.log10(v.ends + 0.5), v.hashed_log()
-    number = {word.encode(): i for i, word in enumerate(v.words)}
+    number = _Numbers((word.encode(), i) for i, word in enumerate(v.words))
     of_known = np.array(
         [1 + i if i < v.own else v.hashed_class(w.encode()) for i, w in enumerate(v.words)] + [0], np.int32
     )
@@ -161,7 +168,7 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 out = []
                 for i, text in enumerate(some.column(1)):
                     words = tokens(text.as_py() or "")
-                    ids = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+                    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
                     seq = of_known[ids]
                     missing = np.flatnonzero(ids < 0).tolist()
                     rare = [words[j] for j in missing]

@@ -3,7 +3,8 @@
 Every document of a source gets the whole copies that are certain; for the rest, each
 has an inclusion probability, and documents are ranked by random odds divided by inclusion
 odds. The first in that order are taken up to the size that is still needed. Draws
-depend on the document alone, so a rerun takes the same. Only DataFrame operations.
+depend on the document alone, so a rerun takes the same. Rows that repeat share their draw; where the
+sample ends among them, as many as are needed are taken. Only DataFrame operations.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def _rank(draw: Column, probability: Column) -> Column:
 
 
 def cuts(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cut): per group the greatest rank so that sizes up to it come nearest to `need`.
+    """(keys, cut, before, need): per group the rank in which sizes in order of ranks reach `need`, and their sum before it.
 
     `ranked` has the keys, need, rank and size. Sizes are summed per slice of the ranks, the
     slice in which the need is met is found and cut into slices again: no task sees the
@@ -100,9 +101,8 @@ def cuts(ranked: DataFrame, keys: list[str]) -> DataFrame:
         )
         # The first slice whose sum reaches the need, or the last one there is.
         hit = (F.col("start") < F.col("need")) & ((F.col("running") >= F.col("need")) | F.col("last"))
-        found = save(steps.where(hit).select(*keys, "slice", F.col("start").alias("before"), F.col("running").alias("after"), "need"), "cuts")
-    over = F.col("after") - F.col("need") > F.col("need") - F.col("before")
-    return found.select(*keys, F.when(over, F.col("slice") - 1).otherwise(F.col("slice")).alias("cut"))
+        found = save(steps.where(hit).select(*keys, "slice", F.col("start").alias("before"), "need"), "cuts")
+    return found.select(*keys, F.col("slice").alias("cut"), "before", "need")
 
 
 def _inside(ranked: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,32 +142,61 @@ def ratios(sizes: DataFrame, goals: DataFrame, classes: tuple[tuple[int, float],
     return rows.select("of", "source_size", "target", F.array(*got).alias("ratios"), need.alias("need"))
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with a number from 1 on within equal `key`, as column `name`.
+
+    Needs key, part and at: where a row was stored. Rows are counted per part and the parts are counted
+    on, so that no task sees all rows of a key.
+    """
+    counts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("at"))
+    return rows.withColumn("place", place).join(bases, ["key", "part"]).withColumn(name, F.col("base") + F.col("place")).drop("base", "place")
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """`rows` saved with part and at, the place of each."""
+    return save(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), purpose)
+
+
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """(doc_id, text_key, size, source_size, target, copies) for each row of `docs`.
+    """(doc_id, source, text_key, size, source_size, target, copies) for each row of `docs`.
 
     Needs doc_id, text and source. The whole part of a document's expected copies is certain, the
     rest is its inclusion probability in the sample, whose total size comes within half
-    of one document to what is needed. Rows that agree in id and text share their draw
-    and are taken or left together. Documents without a word have size 0 and take
+    of one document to what is needed. Rows that agree in source, id and text share their draw; if
+    the sample ends among them, some are taken and others are not. Documents without a word have size 0 and take
     nothing; an empty table has no source and no row.
     """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), "text_key", F.lit(str(seed)))
     draw = (F.conv(F.substring(F.md5(key), 1, DRAW_DIGITS), 16, 10).cast("bigint") + 0.5) / 2.0 ** (4 * DRAW_DIGITS)
     rows = docs.select("doc_id", "source", text_hash().alias("text_key"), size(F.col("text")).alias("size"))
-    rows = save(rows.withColumn("draw", draw).withColumn("class", class_of(F.col("size"))), "sizes")
+    rows = stored(rows.withColumn("draw", draw).withColumn("class", class_of(F.col("size"))), "sizes")
     goals = targets(rows).select(F.col("source").alias("of"), "source_size", "target")
     goals = save(ratios(rows, goals), "targets")
     joined = rows.join(goals, rows["source"].eqNullSafe(goals["of"])).withColumn("ratio", F.get("ratios", F.col("class")))
     joined = joined.withColumn("certain", F.floor("ratio")).withColumn("chance", F.col("ratio") - F.floor("ratio")).drop("of")
-    rank = _rank(F.col("draw"), F.col("chance"))
-    some = joined.where("chance > 0 AND size > 0").select("source", "need", rank.alias("rank"), "size")
-    cut = cuts(some, ["source"]).select(F.col("source").alias("of"), "cut")
-    taken = joined.join(cut, joined["source"].eqNullSafe(cut["of"]), "left")
-    more = F.when(F.col("chance") > 0, rank <= F.col("cut")).otherwise(False)
-    return taken.select(
-        "doc_id", "text_key", "size", "source_size", "target",
-        (F.col("certain") + F.when(more, 1).otherwise(0)).cast("bigint").alias("copies"),
-    )
+    asks = (F.col("chance") > 0) & (F.col("size") > 0)
+    joined = joined.withColumn("rank", F.when(asks, _rank(F.col("draw"), F.col("chance"))))
+    cut = cuts(joined.where("rank IS NOT NULL").select("source", "need", "rank", "size"), ["source"])
+    cut = cut.select(F.col("source").alias("of"), "cut", "before")
+    ranked = joined.join(cut, joined["source"].eqNullSafe(cut["of"]), "left").drop("of")
+    at_cut = F.coalesce(F.col("rank") == F.col("cut"), F.lit(False))
+    clear = ranked.where(~at_cut).withColumn("more", F.coalesce(F.col("rank") < F.col("cut"), F.lit(False)))
+    # Where the sample ends: the rows of one document, or, by chance, of a few with equal ranks.
+    last = ranked.where(at_cut).withColumn("key", F.struct("source", "doc_id", "text_key"))
+    groups = last.groupBy("key").agg(F.sum("size").alias("total"))
+    order = Window.partitionBy("key.source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("key", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("ahead"))
+    last = numbered(last, "number").join(groups, "key")
+    reached = F.col("before") + F.col("ahead") + (F.col("number") - 1) * F.col("size")
+    last = last.withColumn("more", F.col("size") <= 2 * (F.col("need") - reached))
+    columns = [
+        "doc_id", "source", "text_key", "size", "source_size", "target",
+        (F.col("certain") + F.col("more").cast("int")).cast("bigint").alias("copies"),
+    ]
+    return clear.select(*columns).unionByName(last.select(*columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -178,12 +207,25 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them, with the columns of `docs`."""
-    key, of, of_key, times, n = (fresh(docs, name) for name in ("text_key", "mix_id", "mix_key", "mix_times", "mix_n"))
-    copies = mix(docs).groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies")).where("copies > 0").select(
-        F.col("doc_id").alias(of), F.col("text_key").alias(of_key),
-        F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times),
+    """The rows of `docs` as often as the mix takes them, with the columns of `docs`.
+
+    Rows that agree in source, id and text are one document: they share what is taken of all of them as evenly
+    as whole copies allow. A row that the mix takes nothing of is left out. Null ids and sources are values like any other;
+    an empty table gives no row.
+    """
+    key, of, total, n = (fresh(docs, name) for name in ("key", "mix_of", "mix_total", "mix_n"))
+    identity = F.struct(F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
+    copies = mix(docs).groupBy(identity.alias(of)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(n)).where(F.col(total) > 0)
+    left = docs.withColumn(key, F.struct(F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), text_hash().alias("text_key")))
+    both = left.join(copies, left[key] == copies[of]).drop(of)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    even = both.where(F.col(total) % F.col(n) == 0)
+    even = even.withColumn(n, F.explode(F.sequence(F.lit(1), (F.col(total) / F.col(n)).cast("int")))).select(*columns)
+    # Only the documents among which the samples end, one for each source at most.
+    odd = both.where(F.col(total) % F.col(n) != 0).select(
+        F.struct(*columns).alias("row"), F.col(key).alias("key"), F.col(total).alias("total"), F.col(n).alias("n")
     )
-    left = docs.withColumn(key, text_hash())
-    both = left.join(copies, left["doc_id"].eqNullSafe(copies[of]) & (left[key] == copies[of_key]))
-    return both.withColumn(n, F.explode(times)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    odd = numbered(stored(odd, "odd-copies"), "number")
+    times = F.floor(F.col("total") / F.col("n")) + (F.col("number") <= F.col("total") % F.col("n")).cast("int")
+    odd = odd.withColumn("times", times.cast("int")).where("times > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return even.unionByName(odd.select("row.*"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from playlens.llm import codes, negatives
 from playlens.llm.mixing import CAP, CLASSES, DRAW_DIGITS, RANK_BITS, SHARE, WEIGHTS
 from playlens.llm.quality import RULES
-from playlens.llm.urls import RULES as URL_RULES
+from playlens.llm.urls import REFERENCES, RULES as URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,7 +57,8 @@ def _mixing() -> str:
     need = " + ".join(f"(r{i} - floor(r{i})) * s{i}" for i in range(len(CLASSES)))
     return f"""
 WITH RECURSIVE sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
+  SELECT doc_id, source, row_number() OVER () AS row, coalesce(md5(text), 'null') AS text_key,
+    len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
     (CAST('0x' || substr(md5(concat_ws(':', doc_id, coalesce(md5(text), 'null'), '1')), 1, {DRAW_DIGITS}) AS BIGINT) + 0.5::DOUBLE)
       / {2.0 ** (4 * DRAW_DIGITS)!r}::DOUBLE AS draw
   FROM documents),
@@ -80,7 +81,7 @@ second_level AS (SELECT *, CASE WHEN {rest} > 0 THEN (target - ({full})) / ({res
 rated AS (SELECT source, source_size, target, s0, s1, {ratios} FROM second_level),
 needed AS (SELECT *, {need} AS need FROM rated),
 joined AS (
-  SELECT r.doc_id, r.source, r.size, r.draw, n.source_size, n.target, n.need,
+  SELECT r.doc_id, r.source, r.row, r.text_key, r.size, r.draw, n.source_size, n.target, n.need,
     floor([r0, r1][class + 1]) AS certain, [r0, r1][class + 1] - floor([r0, r1][class + 1]) AS chance
   FROM rows r JOIN needed n ON r.source IS NOT DISTINCT FROM n.source),
 odds AS (SELECT *, CASE WHEN chance > 0 THEN draw / (1 - draw) * (1 - chance) / chance END AS odds FROM joined),
@@ -89,15 +90,19 @@ running AS (
   SELECT source, need, rank, sum(n) OVER (PARTITION BY source ORDER BY rank) AS after, sum(n) OVER (PARTITION BY source ORDER BY rank) - n AS before,
     lead(rank) OVER (PARTITION BY source ORDER BY rank) IS NULL AS last
   FROM (SELECT source, need, rank, sum(size) AS n FROM ranked WHERE chance > 0 AND size > 0 GROUP BY ALL)),
-cuts AS (
-  SELECT source, CASE WHEN after - need > need - before THEN rank - 1 ELSE rank END AS cut
-  FROM running WHERE before < need AND (after >= need OR last))
+cuts AS (SELECT source, rank AS cut, before FROM running WHERE before < need AND (after >= need OR last)),
+placed AS (
+  SELECT r.*, c.cut, c.before, coalesce(r.rank = c.cut, false) AS at_cut,
+    coalesce(sum(r.size) OVER (PARTITION BY r.source, coalesce(r.rank = c.cut, false) ORDER BY r.doc_id, r.text_key, r.row
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+  FROM (SELECT * REPLACE (CASE WHEN chance > 0 AND size > 0 THEN rank END AS rank) FROM ranked) r
+    LEFT JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (certain + CASE WHEN chance > 0 AND rank <= cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM ranked r LEFT JOIN cuts c ON r.source IS NOT DISTINCT FROM c.source"""
+  CAST(size * (certain + CASE WHEN at_cut THEN CAST(size <= 2 * (need - before - ahead) AS INT) WHEN rank < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed"""
 
 
-def _urls() -> str:
+def _urls() -> tuple[str, str]:
     def fits(rule) -> str:
         return f"((host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}'))"
 
@@ -113,15 +118,63 @@ def _urls() -> str:
             rf"regexp_extract(coalesce({url}, ''), '(?s)^[^#]*?(\?[^#]*)', 1) AS query"
         )
 
-    return rf"""
-WITH RECURSIVE tags AS (
-  SELECT url, list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1] AS link,
-    list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1] AS meta
+    def links() -> str:
+        """Links that pages declare, as full addresses."""
+        attribute = lambda name, of: (
+            f"list_aggregate(regexp_extract_all({of}, '(?is)(?:^|[^\\w-]){name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))', 0)[1:1], 'string_agg', '')"
+        )
+        value = lambda name, of: (
+            f"regexp_replace(regexp_replace(coalesce({attribute(name, of)}, ''), '(?is)^.?{name}\\s*=\\s*', ''), '^([\"''])(.*)[\"'']$', '\\2', 's')"
+        )
+        code = (
+            "CASE WHEN regexp_matches(ref, '^#[xX]') THEN CAST('0x' || ref[3:] AS BIGINT) WHEN starts_with(ref, '#') THEN CAST(ref[2:] AS BIGINT) "
+            "ELSE CASE ref " + " ".join(f"WHEN '{n}' THEN {c}" for n, c in REFERENCES.items()) + " END END"
+        )
+        dots = lambda p: (
+            f"CASE WHEN regexp_matches({p}, '/\\.\\.?(/|$)') THEN list_reduce(string_split({p}, '/')[2:], lambda done, x: "
+            "CASE WHEN x = '.' THEN done WHEN x = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || x END, '') || "
+            f"CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END ELSE {p} END"
+        )
+        return rf"""
+cleaned AS (
+  SELECT url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<textarea\b.*?(?:</textarea\s*>|\z)|<title\b.*?(?:</title\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)|<template\b.*?(?:</template\s*>|\z)', ' ', 'g') || '>' AS html
   FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+elements AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS element FROM cleaned),
+raw AS (
+  SELECT row_number() OVER () AS n, url, CASE
+    WHEN regexp_matches(element, '(?i)^<link') AND list_contains(regexp_split_to_array(lower(trim({value("rel", "element")})), '\s+'), 'canonical') THEN {value("href", "element")}
+    WHEN regexp_matches(element, '(?i)^<meta') AND lower(trim({value("http-equiv", "element")})) = 'refresh' THEN {value("content", "element")} END AS link,
+    regexp_matches(element, '(?i)^<meta') AS refresh
+  FROM elements),
+pieces AS (SELECT n, url, refresh, unnest(string_split(link, '&')) AS part, generate_subscripts(string_split(link, '&'), 1) AS i FROM raw WHERE link IS NOT NULL),
+named AS (SELECT *, CASE WHEN i > 1 THEN regexp_extract(part, '^(#[0-9]{{1,7}}|#[xX][0-9a-fA-F]{{1,6}}|[A-Za-z]+);', 1) ELSE '' END AS ref FROM pieces),
+coded AS (SELECT *, CASE WHEN ref <> '' THEN {code} END AS code FROM named),
+decoded AS (
+  SELECT url, refresh, string_agg(CASE WHEN i = 1 THEN part
+    WHEN code BETWEEN 1 AND 1114111 AND code NOT BETWEEN 55296 AND 57343 THEN chr(CAST(code AS INT)) || part[length(ref) + 2:] ELSE '&' || part END, '' ORDER BY i) AS link
+  FROM coded GROUP BY n, url, refresh),
+found AS (
+  SELECT url, regexp_replace(CASE WHEN refresh THEN
+    regexp_replace(regexp_extract(link, '(?is)^[\s\d.]*[;,]?\s*url\s*=\s*("[^"]*|''[^'']*|[^"''].*)', 1), '^["'']', '') ELSE link END, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS link
+  FROM decoded),
+split AS (
+  SELECT url, link, regexp_extract(url, '(?s)^(.*?:)//', 1) AS scheme, {parts("url")}, regexp_extract(link, '(?s)^([^?#]*)', 1) AS target,
+    regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS rest FROM found WHERE link <> ''),
+placed AS (SELECT *, '/' || ltrim(regexp_replace(path, '[^/]*$', '') || target, '/') AS full_path, scheme || '//' || host AS site FROM split),
 links AS (
-  SELECT url, regexp_extract(link, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS target FROM tags WHERE link IS NOT NULL
-  UNION ALL SELECT url, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM tags WHERE meta IS NOT NULL),
-addresses AS (SELECT url AS address FROM links UNION SELECT target FROM links UNION SELECT url FROM pages),
+  SELECT url, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN link WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '//') THEN scheme || link WHEN target = '' THEN site || path || rest
+    WHEN starts_with(link, '/') THEN site || {dots("target")} || rest ELSE site || {dots("full_path")} || rest END AS target
+  FROM placed)"""
+
+    shared = """
+firsts AS (SELECT page_id // 5 AS five, arg_min(url, page_id) AS target FROM pages GROUP BY ALL),
+links AS (SELECT url, target FROM pages JOIN firsts ON page_id // 5 = five)"""
+
+    def judged(links: str) -> str:
+        return rf"""
+WITH RECURSIVE {links},
+addresses AS (SELECT url AS address FROM links UNION SELECT target FROM links WHERE target IS NOT NULL UNION SELECT url FROM pages),
 known AS (
   SELECT address, host, path, host || regexp_replace(path, '/+$', '') || query AS node, CASE {rule} END AS rule
   FROM (SELECT address, {parts("address")} FROM addresses)),
@@ -129,15 +182,18 @@ judged AS (SELECT *, CASE rule {verdict} END AS own FROM known),
 edges AS (
   SELECT a.node AS a, b.node AS b FROM links JOIN known a ON a.address = url JOIN known b ON b.address = target
   WHERE a.node <> b.node AND a.node <> '' AND b.node <> ''),
+ends AS (SELECT ends.address FROM links JOIN known a ON a.address = url JOIN known b ON b.address = target,
+  LATERAL (SELECT unnest([url, target]) AS address) ends WHERE a.node <> b.node AND a.node <> '' AND b.node <> ''),
 ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(node, other) AS (SELECT a, a FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON r.other = w.a),
 blocked AS (
-  SELECT r.node FROM reach r JOIN judged j ON j.node = r.other
-  WHERE j.address IN (SELECT url FROM links UNION SELECT target FROM links)
+  SELECT r.node FROM reach r JOIN judged j ON j.node = r.other WHERE j.address IN (FROM ends)
   GROUP BY r.node HAVING bool_or(own = 'block') AND NOT coalesce(bool_or(own = 'allow'), false))
 SELECT p.page_id, j.host, j.path, j.rule, coalesce(j.own, CASE WHEN j.node IN (FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM pages p JOIN judged j ON j.address IS NOT DISTINCT FROM p.url"""
 
+    return judged(links()), judged(shared)
+
 
 #: Rows whose vector is whole; all vectors of the given tables have one length.
 _WHOLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
@@ -194,7 +250,8 @@ QUALIFY rank <= {negatives.NEGATIVES}"""
 
 
 def oracles() -> dict[str, str]:
+    declared, shared = _urls()
     return {
-        "op1_quality_rules": QUALITY, "op6_pareto_mixing": _mixing(), "op10_url_filters": _urls(),
+        "op1_quality_rules": QUALITY, "op6_pareto_mixing": _mixing(), "op10_url_filters": declared, "url_filters_shared_addresses": shared,
         "op12_vector_codes": _codes(), "op13_hard_negatives": NEGATIVES,
     }

@@ -31,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": on("documents", packing.pack),
         "op9_hmm_scoring": on("documents", lm.digest),
         "op10_url_filters": on("pages", urls.digest),
+        "url_filters_shared_addresses": on("pages", urls.shared_addresses),
         "op11_simhash_near_dedup": on("documents", simhash.digest),
         "op12_vector_codes": on("embeddings", codes.digest),
         "op13_hard_negatives": on("embeddings", negatives.digest),

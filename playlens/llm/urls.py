@@ -19,9 +19,19 @@ from playlens.llm.common import save
 
 #: After the first "://": host, then path.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: A link element that names the canonical address, and a refresh that redirects at once.
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+# Fixed values of HTML. What holds no links, link and meta elements, and the value of an attribute.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|noscript|template)\b.*?(?:</\1\s*>|\z)"
+ELEMENT = r"(?is)<(?:link|meta)\b[^>]*>"
+VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+REFRESH = r"(?is)^[\s\d.]*[;,]?\s*url\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
+#: Character references with a name; these are all that have an ASCII character.
+REFERENCES = {
+    "Tab": 9, "NewLine": 10, "excl": 33, "quot": 34, "QUOT": 34, "num": 35, "dollar": 36, "percnt": 37, "amp": 38, "AMP": 38, "apos": 39,
+    "lpar": 40, "rpar": 41, "ast": 42, "midast": 42, "plus": 43, "comma": 44, "period": 46, "sol": 47, "colon": 58, "semi": 59,
+    "lt": 60, "LT": 60, "equals": 61, "gt": 62, "GT": 62, "quest": 63, "commat": 64, "lsqb": 91, "lbrack": 91, "bsol": 92,
+    "rsqb": 93, "rbrack": 93, "Hat": 94, "lowbar": 95, "UnderBar": 95, "grave": 96, "DiacriticalGrave": 96, "lcub": 123, "lbrace": 123,
+    "verbar": 124, "vert": 124, "VerticalLine": 124, "rcub": 125, "rbrace": 125,
+}
 
 
 @dataclass(frozen=True)
@@ -74,22 +84,81 @@ def node(url: Column) -> Column:
     return F.concat(host(url), F.regexp_replace(path(url), "/+$", ""), query)
 
 
+def attribute(element: Column, name: str) -> Column:
+    """The value of an attribute of a tag; empty without one."""
+    pattern = rf"(?is)(?<![\w-]){name}{VALUE}"
+    return F.concat(*(F.regexp_extract(element, pattern, i) for i in (1, 2, 3)))
+
+
+def decoded(text: Column) -> Column:
+    """`text` with its character references replaced: all numeric ones, and names of ASCII characters."""
+    names = F.create_map(*(F.lit(x) for pair in REFERENCES.items() for x in pair))
+
+    def piece(part: Column) -> Column:
+        found = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);", 1)
+        code = (
+            F.when(found.rlike("^#[xX]"), F.conv(F.substring(found, 3, 6), 16, 10).cast("int"))
+            .when(found.startswith("#"), F.substring(found, 2, 7).cast("int"))
+            .when(found != "", F.try_element_at(names, found))
+        )
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # A code point as it stands in UTF-32.
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.substr(part, F.length(found) + 2)
+        return F.when(valid, F.concat(character, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), piece), ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without the segments . and .. (the latter takes the one before it along)."""
+    def step(done: Column, segment: Column) -> Column:
+        up = F.regexp_replace(done, r"/[^/]*$", "")
+        return F.when(segment == ".", done).when(segment == "..", up).otherwise(F.concat(done, F.lit("/"), segment))
+
+    clean = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 20), F.lit(""), step)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(clean, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
 def resolved(base: Column, link: Column) -> Column:
-    """`link` as a full address, seen from the page at `base`."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?://)", 1)
+    """`link` as a full address, seen from the page at `base`; null for a scheme without "//" (mailto: and the like).
+
+    <base> elements are not regarded.
+    """
+    site = F.concat(F.regexp_extract(base, r"(?s)^(.*?://)", 1), host(base))
+    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
+    target, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    full = F.concat(F.regexp_replace(path(base), "[^/]*$", ""), target)
     return (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), link))
-        .when(link.startswith("/"), F.concat(scheme, host(base), link))
-        .otherwise(F.concat(scheme, host(base), F.regexp_replace(path(base), "[^/]*$", ""), link))
+        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), link)
+        .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(target == "", F.concat(site, path(base), rest))
+        .when(link.startswith("/"), F.concat(site, _without_dots(target), rest))
+        .otherwise(F.concat(site, _without_dots(F.when(full.startswith("/"), full).otherwise(F.concat(F.lit("/"), full))), rest))
     )
 
 
 def aliases(pages: DataFrame) -> DataFrame:
-    """(source, target): redirects and canonical links that the pages themselves declare."""
-    links = F.array(*(F.regexp_extract("html", pattern, 1) for pattern in (CANONICAL, REFRESH)))
-    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select("url", F.explode(links).alias("link")).where("link <> ''")
-    return found.select(F.col("url").alias("source"), resolved(F.col("url"), F.replace("link", F.lit("&amp;"), F.lit("&"))).alias("target"))
+    """(source, target): redirects and canonical links that the pages themselves declare, all of them.
+
+    What stands in comments, scripts and the like is no link. Null and empty addresses and pages declare none.
+    """
+    text = F.concat(F.regexp_replace("html", NO_MARKUP, " "), F.lit(">"))  # the last element may be cut off
+    found = pages.where("url IS NOT NULL AND html IS NOT NULL").select(
+        "url", F.explode(F.regexp_extract_all(text, F.lit(ELEMENT), F.lit(0))).alias("element")
+    )
+    element = F.col("element")
+    names_it = F.array_contains(F.split(F.lower(F.trim(attribute(element, "rel"))), r"\s+"), "canonical")
+    refreshes = F.lower(F.trim(attribute(element, "http-equiv"))) == "refresh"
+    content = decoded(attribute(element, "content"))
+    after = F.concat(*(F.regexp_extract(content, REFRESH, i) for i in (1, 2, 3)))
+    link = F.when(element.rlike("(?i)^<link") & names_it, decoded(attribute(element, "href"))).when(
+        element.rlike("(?i)^<meta") & refreshes, after
+    )
+    rows = found.select("url", F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("link")).where("link <> ''")
+    return rows.select(F.col("url").alias("source"), resolved(F.col("url"), F.col("link")).alias("target")).where("target IS NOT NULL")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -98,7 +167,7 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES) ->
     `edges` holds alias pairs (source, target) of full addresses, whether their pages are
     in `pages` or not: a blocked address blocks its aliases even if it was never crawled.
     Null and broken addresses have no host, fit no rule and are allowed. Repeated rows
-    are judged alike.
+    are judged alike, very long addresses are read whole, and empty tables give no row.
     """
     ends = edges.select(
         node(F.col("source")).alias("a"), node(F.col("target")).alias("b"),
@@ -128,3 +197,14 @@ def judge(pages: DataFrame, edges: DataFrame, rules: Sequence[Rule] = RULES) ->
 def digest(pages: DataFrame) -> DataFrame:
     """The verdict on every page, with the aliases that the pages declare."""
     return judge(pages, aliases(pages))
+
+
+def shared_addresses(pages: DataFrame) -> DataFrame:
+    """The verdict on every page, as if each five neighbours by page_id redirected to the first of them.
+
+    The edges are derived from `pages`, so that classes decide verdicts whatever the pages declare.
+    """
+    five = F.floor(F.col("page_id") / 5).cast("bigint")
+    firsts = pages.groupBy(five.alias("five")).agg(F.min_by("url", F.struct("page_id", "url")).alias("target"))
+    edges = pages.select(F.col("url").alias("source"), five.alias("five")).join(firsts, "five").select("source", "target")
+    return judge(pages, edges)

@@ -122,6 +122,22 @@ def test_expected_counts_are_those_of_all_paths():
     assert np.isclose(got[3] / math.log(10), lm.log_likelihoods(model, seqs).sum())
 
 
+def test_segments_count_like_whole_texts():
+    """Cut texts give the counts of whole ones: each token and move is counted once, and the context carries the states."""
+    model = tiny_model()
+    rng = np.random.default_rng(2)
+    seqs = [rng.integers(0, 5, n).astype(np.int32) for n in (1, 7, 64, 200, 1000, 64, 65)]
+    whole = lm.expected(model, seqs, length=2000)
+    cut = lm.expected(model, seqs, length=64, context=16)
+    assert np.isclose(whole[3] / math.log(10), lm.log_likelihoods(model, seqs).sum())
+    assert np.allclose(cut[2].sum(), sum(map(len, seqs))) and np.allclose(cut[1].sum(), sum(len(s) - 1 for s in seqs))
+    assert np.allclose(cut[0], whole[0], atol=1e-6)
+    for a, b in zip(cut[1:3], whole[1:3]):
+        assert np.allclose(a, b, rtol=1e-4)
+    alone = sum(lm.expected(model, [s], length=2000)[2] for s in seqs)
+    assert np.allclose(alone, whole[2])
+
+
 def test_very_long_texts_keep_their_probability():
     model = tiny_model()
     seq = np.random.default_rng(0).integers(0, 5, 100_000).astype(np.int32)

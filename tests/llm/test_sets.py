@@ -5,13 +5,18 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from checks.compare import compare
 from playlens.llm import fingerprints, jaccard, mixing, urls
 from playlens.llm.components import components
+from playlens.llm.oracles import oracles
 from tests.llm import frames
 
 
@@ -47,9 +52,11 @@ def near_copies(n: int) -> dict[int, str | None]:
     return rows
 
 
-def test_join_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("block, shingles_", [(16, 1 << 19), (256, 1000)])
+def test_join_against_all_pairs(spark, monkeypatch, block, shingles_):
     rows = near_copies(80)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)  # many blocks per bucket
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # many blocks per bucket
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles_)
     got = jaccard.digest(spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(5)).collect()
     links, root = joined(rows)
     assert {r["doc_id"]: r["n_links"] for r in got} == links
@@ -58,14 +65,30 @@ def test_join_against_all_pairs(spark, monkeypatch):
 
 def test_no_row_per_pair(spark):
     """A bucket of m texts is dealt out m * blocks times, not m * m times."""
-    rows = spark.range(5000).selectExpr("cast(id as string) AS key", "5000 AS m")
-    dealt = jaccard._dealt(rows, rows["m"], rows["key"])
+    rows = spark.range(5000).selectExpr("cast(id as string) AS key", f"{-(-5000 // jaccard.BLOCK)} AS blocks")
+    dealt = jaccard._dealt(rows, rows["blocks"], rows["key"])
     assert dealt.count() == 5000 * -(-5000 // jaccard.BLOCK)
     tasks = dealt.groupBy("i", "j").count()
     assert tasks.count() == 20 * 21 // 2
     assert tasks.agg({"count": "max"}).first()[0] < 4 * jaccard.BLOCK
 
 
+def test_candidates_are_no_pairs(spark):
+    """A cluster of near copies: a row per text and task, not a list of its pairs; long texts get blocks of their own."""
+    base = frames.prose(7, 400)
+    rows = [(i, frames.changed(base, i, 3)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(jaccard._profile(F.col("text")).alias("p")).select("p.*")
+    found = jaccard.candidates(docs)
+    assert "array" not in dict(found.dtypes).values()
+    tasks = found.groupBy("band", "value", "i", "j").count().collect()
+    assert found.count() <= 120 * jaccard.BANDS and max(r["count"] for r in tasks) <= 120
+
+
+def test_lower_thresholds_are_refused(spark):
+    with pytest.raises(ValueError):
+        jaccard.linked(frames.documents(spark), 0.7)
+
+
 def test_pruning_is_the_beta_posterior():
     for compared in (16, 48, 96):
         least = jaccard.fewest_matches(compared)
@@ -166,6 +189,38 @@ def test_mix(spark):
     assert words == sum(taken.values())
 
 
+def test_repeated_rows_are_taken_up_to_the_target(spark):
+    """A source that is mostly one row, many times: its target is met within half a row."""
+    rows = [(1, "w " * 60, "a")] * 500 + [(10 + i, frames.prose(i, 40), "a") for i in range(98)]
+    rows += [(2000 + i, frames.prose(i, 100), "b") for i in range(90)] + [(3000 + i, frames.prose(i, 90), "c") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    for name in "abc":
+        some = [r for r in got if r["source"] == name]
+        assert abs(sum(r["size"] * r["copies"] for r in some) - some[0]["target"]) <= 50 + 1e-6
+    equal = {r["copies"] for r in got if r["doc_id"] == 1}
+    assert len(equal) == 2 and max(equal) - min(equal) == 1, "the sample ends among the equal rows"
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    problems, n = compare(mixing.digest(docs), con, oracles()["op6_pareto_mixing"])
+    assert not problems and n == len(rows)
+    words = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.size(F.col("text"))).alias("n")).collect()
+    assert {r["source"]: r["n"] for r in words} == {
+        name: sum(r["size"] * r["copies"] for r in got if r["source"] == name) for name in "abc"
+    }
+
+
+def test_one_document_in_two_sources(spark):
+    """Each source takes its own share of a row that is in both."""
+    text = "w " * 80
+    rows = [(1, text, "a"), (1, text, "b")] + [(10 + i, frames.prose(i, 80), "a") for i in range(40)] + [(100 + i, frames.prose(i, 80), "b") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = {(r["source"], r["doc_id"]): r["copies"] for r in mixing.mix(docs).collect()}
+    counted = {(r["source"], r["doc_id"]): r["n"] for r in mixing.mixed(docs).groupBy("source", "doc_id").agg(F.count("*").alias("n")).collect()}
+    assert counted == {k: n for k, n in copies.items() if n}
+
+
 def test_inclusion_probabilities(spark):
     """Over many seeds a document is taken as often as its expected copies say."""
     rows = [(i, "w " * (20 if i % 2 else 80), "s") for i in range(60)] + [(1000 + i, "w " * 100, "t") for i in range(20)]
@@ -195,3 +250,58 @@ def test_redirects_to_pages_never_crawled(spark):
     edges = spark.createDataFrame([("http://a.net/1", "http://x.example.org/es/5"), ("http://b.net/2", None)], "source string, target string")
     got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, edges).collect()}
     assert got == {1: "block", 2: "allow"}
+
+
+@pytest.mark.parametrize("base, link, expected", [
+    ("http://A.net/x/y?q#f", "?page=2", "http://a.net/x/y?page=2"), ("http://a.net/x/y", "../c", "http://a.net/c"),
+    ("http://a.net/x/y", "./c/../d?e=/../f", "http://a.net/x/d?e=/../f"), ("http://a.net/x/y/", "..", "http://a.net/x/"),
+    ("http://a.net/x", "../../../c", "http://a.net/c"), ("http://a.net", "c", "http://a.net/c"), ("https://a.net/x", "//b.net/z", "https://b.net/z"),
+    ("http://a.net/x", "/z/./w", "http://a.net/z/w"), ("http://a.net/x", "HTTP://b.net/z", "HTTP://b.net/z"), ("http://a.net/x", "mailto:me", None),
+    ("http://a.net/x/y", "#top", "http://a.net/x/y#top"), ("http://a.net/x", "/r?to=http://b.net", "http://a.net/r?to=http://b.net"),
+])
+def test_links_are_resolved(spark, base, link, expected):
+    row = spark.createDataFrame([(base, link)], "b string, l string").select(urls.resolved(F.col("b"), F.col("l")).alias("r")).first()
+    assert row["r"] == expected
+
+
+def test_references_are_decoded(spark):
+    for text, expected in {
+        "a&amp;b&#38;c&#x26;d&sol;e&#47;": "a&b&c&d/e/", "&#x1F642;&#8364;": "\U0001F642€", "&&amp;amp;&nix;&#0;&#xD800;&#9999999;&amp": "&&amp;&nix;&#0;&#xD800;&#9999999;&amp",
+        "": "", "plain": "plain", "a&b=c;d": "a&b=c;d",
+    }.items():
+        assert spark.createDataFrame([(text,)], "t string").select(urls.decoded(F.col("t")).alias("r")).first()["r"] == expected
+
+
+LINKED_PAGES = {
+    1: ("http://a.example.net/b/1", "<link href='http://x.example.org/es/1' rel='alternate canonical'>", "block"),
+    2: ("http://a.example.net/b/2", "<link rel=canonical href='/own'><p><LINK REL = \"Canonical\" HREF=\"http://x.example.org/es/2\" />", "block"),
+    3: ("http://x.example.org/es/b/3", "<meta http-equiv='Refresh' content=\"0; URL='../../c/3'\">", "block"),
+    4: ("http://x.example.org/c/3/", "<p>target of 3</p>", "allow"),
+    5: ("http://a.example.net/b/5", "<!-- <link rel=canonical href='http://x.example.org/es/5'> --><p>x", "allow"),
+    6: ("http://a.example.net/b/6", "<script>'<link rel=canonical href=\"http://x.example.org/es/6\">'</script>", "allow"),
+    7: ("http://a.example.net/b/7?page=1", "<link rel='canonical' href='?page=2'>", "block"),
+    8: ("http://a.example.net/b/7?page=2", "<link rel='canonical' href='http:&#47;&#x2F;x.example.org&sol;es/8'>", "block"),
+    9: ("http://a.example.net/b/9", "<link data-rel='canonical' href='http://x.example.org/es/9'><link rel='canonicals' href='http://x.example.org/es/9'>", "allow"),
+    10: ("http://a.example.net/b/10", "<meta name=refresh content='0; url=http://x.example.org/es/9'><a rel=canonical href='http://x.example.org/es/9'>", "allow"),
+    11: ("http://a.example.net/b/11", "<link rel=canonical href='http://x.example.org/es/11' cut off", "block"),
+    12: ("http://a.example.net/b/12", "<link rel='canonical' href='javascript:x'><link rel=canonical href=''><link rel=canonical>", "allow"),
+    13: ("http://a.example.net/b/13", "<meta http-equiv=refresh content='5;//x.example.org/es/1'><meta content='1,url = \"http://x.example.org/en/1\"' http-equiv=refresh>", "block"),
+}
+
+
+def test_declared_links(spark):
+    pages = spark.createDataFrame([(i, url, page) for i, (url, page, _) in LINKED_PAGES.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.digest(pages).collect()}
+    assert got == {i: verdict for i, (_, _, verdict) in LINKED_PAGES.items()}
+    con = duckdb.connect()
+    con.register("pages", pages.toArrow())
+    problems, n = compare(urls.digest(pages), con, oracles()["op10_url_filters"])
+    assert not problems and n == len(LINKED_PAGES)
+
+
+def test_broken_elements_take_linear_time(spark):
+    rows = [(1, "http://a.net/1", "<link " * 200_000), (2, "http://a.net/2", "<script " * 150_000), (3, "http://a.net/3", "<link rel=canonical href='" + "../" * 3000 + "x'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    began = time.perf_counter()
+    assert urls.digest(pages).count() == 3
+    assert time.perf_counter() - began < 60
