@@ -152,12 +152,14 @@ def aliases(pages: DataFrame) -> DataFrame:
     element = F.col("element")
     names_it = F.array_contains(F.split(F.lower(F.trim(attribute(element, "rel"))), r"\s+"), "canonical")
     refreshes = F.lower(F.trim(attribute(element, "http-equiv"))) == "refresh"
-    content = decoded(attribute(element, "content"))
-    after = F.concat(*(F.regexp_extract(content, REFRESH, i) for i in (1, 2, 3)))
-    link = F.when(element.rlike("(?i)^<link") & names_it, decoded(attribute(element, "href"))).when(
-        element.rlike("(?i)^<meta") & refreshes, after
+    value = F.when(element.rlike("(?i)^<link") & names_it, attribute(element, "href")).when(
+        element.rlike("(?i)^<meta") & refreshes, attribute(element, "content")
     )
-    rows = found.select("url", F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+$", "").alias("link")).where("link <> ''")
+    found = found.select("url", element.rlike("(?i)^<meta").alias("meta"), value.alias("value")).where("value <> ''")
+    found = found.select("url", "meta", decoded(F.col("value")).alias("value"))
+    after = F.concat(*(F.regexp_extract("value", REFRESH, i) for i in (1, 2, 3)))
+    link = F.regexp_replace(F.when(F.col("meta"), after).otherwise(F.col("value")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    rows = found.select("url", link.alias("link")).where("link <> ''")
     return rows.select(F.col("url").alias("source"), resolved(F.col("url"), F.col("link")).alias("target")).where("target IS NOT NULL")
 
 

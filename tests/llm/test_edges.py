@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from playlens.llm import fingerprints, html, jaccard, lines, lm, mixing, packing, quality, tokens, urls
+from playlens.llm import fingerprints, html, jaccard, lines, lm, mixing, packing, quality, simhash, tokens, urls
 from tests.llm import frames
 
 ON_DOCUMENTS = {
     "quality": quality.digest, "jaccard": jaccard.digest, "lines": lines.digest, "fingerprints": fingerprints.digest,
-    "mixing": mixing.digest, "tokens": tokens.digest, "lm": lm.digest,
+    "mixing": mixing.digest, "tokens": tokens.digest, "lm": lm.digest, "simhash": simhash.digest,
 }
 ON_PAGES = {"html": html.digest, "urls": urls.digest}
 
@@ -21,7 +20,7 @@ def test_one_row_per_document(spark, name):
     docs = frames.documents(spark)
     rows = ON_DOCUMENTS[name](docs).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(i) for i, _ in frames.texts())
-    assert all(value is not None for r in rows for key, value in r.asDict().items() if key not in ("doc_id", "class_id", "text"))
+    assert all(value is not None for r in rows for key, value in r.asDict().items() if key not in ("doc_id", "class_id", "component_id", "text"))
 
 
 @pytest.mark.parametrize("name", ON_DOCUMENTS)
@@ -55,6 +54,6 @@ def test_stages_keep_the_columns(spark, name, stage):
 def test_repeated_rows_get_equal_results(spark):
     docs = frames.documents(spark).where("doc_id = 17")
     for name in ("quality", "fingerprints", "tokens", "lm"):
-        rows = [tuple(r) for r in ON_DOCUMENTS[name](docs.where(F.col("text").startswith("th") | True)).drop(
+        rows = [tuple(r) for r in ON_DOCUMENTS[name](docs).drop(
             "edited_sha256", "edited_fingerprint", "near_edited", "near_next").collect()]
         assert len(rows) == 3 and len(set(rows)) == 2
