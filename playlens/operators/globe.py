@@ -150,9 +150,10 @@ def globe_measured(
 def marker_size(places: DataFrame, column: str, base: int = 8, span: int = 35) -> DataFrame:
     """Scale `column` to a marker size between `base` and base + span.
 
-    The limits are scalar subqueries over `places`; its last exchange is computed once.
+    The limits are one scalar subquery over `places`; its last exchange is computed once.
     """
-    low, high = places.agg(F.min(column)).scalar(), places.agg(F.max(column)).scalar()
+    limits = places.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low, high = limits["low"], limits["high"]
     return places.withColumn(
         "marker_size", F.lit(base) + (F.col(column) - low) / (high - low + 1) * span
     )
