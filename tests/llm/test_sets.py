@@ -299,6 +299,31 @@ def test_declared_links(spark):
     assert not problems and n == len(LINKED_PAGES)
 
 
+def test_plan_of_links_stays_small(spark, monkeypatch):
+    """No step repeats the expression of the step before: such a plan took megabytes, all in the driver's memory."""
+    plans, save = [], urls.save
+
+    def seen(df, purpose):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return save(df, purpose)
+
+    monkeypatch.setattr(urls, "save", seen)
+    assert urls.digest(frames.pages(spark)).count() == frames.pages(spark).count()
+    assert len(plans) == 1 and "regexp_extract_all" in plans[0] and len(plans[0]) < 50_000
+
+
+def test_references_and_links_of_odd_values(spark):
+    rows = [
+        ("http://a.net/x/y", "<link rel=canonical href='&#47;&sol;b.net&#x2F;..&sol;c&amp;amp;d&#0;&nix;&'>", ["http://b.net/../c&amp;d&#0;&nix;&"]),
+        ("no scheme", "<link rel=canonical href='c/../d'><meta http-equiv=refresh content='0;url=//e'><link rel=canonical href='mailto:x'>", ["/d", "//e"]),
+        ("http://a.net/é", "<link rel=canonical href='\t\n'><link rel='canonical' href=' ?q=&#233; '>", ["http://a.net/é?q=é"]),
+        (None, "<link rel=canonical href='http://b.net'>", []), ("http://a.net", None, []), ("", "<link rel=canonical href='http://b.net'>", ["http://b.net"]),
+    ]
+    pages = spark.createDataFrame([r[:2] for r in rows], "url string, html string")
+    got = sorted((r["source"], r["target"]) for r in urls.aliases(pages).collect())
+    assert got == sorted((url, target) for url, _, targets in rows for target in targets)
+
+
 def test_broken_elements_take_linear_time(spark):
     rows = [(1, "http://a.net/1", "<link " * 200_000), (2, "http://a.net/2", "<script " * 150_000), (3, "http://a.net/3", "<link rel=canonical href='" + "../" * 3000 + "x'>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
